@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import bpe, langid, simhash
+from stratalens.llm import bpe, chat, langid, lines, secrets, simhash, warc
 from stratalens.runtime import table
 
 
@@ -17,10 +17,14 @@ def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": _on("documents", langid.op2),
+        "op3_secret_scan": _on("documents", secrets.op3),
         "op5_byte_bpe": _on("documents", bpe.op5),
+        "op6_warc": _on("pages", warc.op6),
+        "op7_chat_format": _on("conversations", chat.op7),
+        "op9_line_quality": _on("documents", lines.op9),
         "op10_simhash": _on("documents", simhash.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": warc.SQL, "op9_line_quality": lines.SQL}
