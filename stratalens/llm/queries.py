@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import bpe, chat, langid, lines, secrets, simhash, warc
+from stratalens.llm import bpe, chat, decontaminate, langid, lines, pii, secrets, simhash, warc
 from stratalens.runtime import table
 
 
@@ -16,15 +16,17 @@ def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": lambda spark, sf_dir: decontaminate.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op2_language_id": _on("documents", langid.op2),
         "op3_secret_scan": _on("documents", secrets.op3),
         "op5_byte_bpe": _on("documents", bpe.op5),
         "op6_warc": _on("pages", warc.op6),
         "op7_chat_format": _on("conversations", chat.op7),
+        "op8_pii": _on("documents", pii.op8),
         "op9_line_quality": _on("documents", lines.op9),
         "op10_simhash": _on("documents", simhash.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.SQL, "op9_line_quality": lines.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL, "op9_line_quality": lines.SQL}
