@@ -61,11 +61,13 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     Cuts lineage: a lost executor costs a re-read, not a recomputation.  The
-    folder is removed when the driver exits.
+    driver's collector runs afterwards, so that Spark drops the shuffle files
+    behind what was written.  The folder is removed when the driver exits.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stratalens-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
