@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import bpe, chat, decontaminate, langid, lines, pii, secrets, simhash, warc
+from stratalens.llm import bpe, chat, decontaminate, langid, lines, pii, secrets, simhash, suffix, warc
 from stratalens.runtime import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": lambda spark, sf_dir: decontaminate.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op2_language_id": _on("documents", langid.op2),
         "op3_secret_scan": _on("documents", secrets.op3),
+        "op4_suffix_dedup": _on("documents", suffix.op4),
         "op5_byte_bpe": _on("documents", bpe.op5),
         "op6_warc": _on("pages", warc.op6),
         "op7_chat_format": _on("conversations", chat.op7),
