@@ -2,62 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from stratalens.runtime import table
+from stratalens.plans import finding_queries, graph_queries, path_queries  # noqa: F401
+from stratalens.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "fan_in_top"
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with the SQL that gives the same rows."""
-
-    def add(fn: Query) -> Query:
-        _QUERIES[name] = fn
-        if sql:
-            _SQL[name] = sql
-        return fn
-
-    return add
-
-
-EDGES_SQL = """edges as (
-  select distinct cast(src as varchar) as source, cast(dst as varchar) as target from (
-    select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by
-      l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as dst, l_quantity
-    from lineitem) t where dst is not null and l_quantity > 48)"""
-
-
-def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import-like edges: a part to the next part of its order."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select("l_partkey", F.lead("l_partkey").over(w).alias("dst"), "l_quantity")
-        .where("dst is not null and l_quantity > 48")
-        .select(F.col("l_partkey").cast("string").alias("source"), F.col("dst").cast("string").alias("target"))
-        .distinct()
-    )
-
-
-@query("fan_in_top", f"with {EDGES_SQL} select target as file, count(*) as fan_in from edges group by 1 order by 2 desc, 1 limit 5")
-def fan_in_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3, L1: the five most imported files, ties by path."""
-    return part_edges(spark, sf_dir).groupBy(F.col("target").alias("file")).agg(F.count("*").alias("fan_in")).orderBy(F.desc("fan_in"), "file").limit(5)
-
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
