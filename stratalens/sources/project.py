@@ -20,15 +20,27 @@ HISTORY = "timestamp string, files long, violations long, errors long, warnings
 
 def read_tree(spark: SparkSession, root: str, scope: str = "", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """``files(path, source)`` of all TypeScript files below
-    ``root``, hidden ones too; the reader's glob prunes the listing."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx}").load(root)
+    ``root``.  The driver lists names only; Spark reads the contents.  Hidden
+    paths, which Spark leaves out, are named to it; empty files have no rows
+    there and get an empty source."""
+    names = []
+    for at, subs, found in os.walk(root):
+        subs.sort()
+        rel = os.path.relpath(at, root).replace(os.sep, "/")
+        names += [n if rel == "." else f"{rel}/{n}" for n in found if n.endswith((".ts", ".tsx"))]
     base = root.rstrip("/") + "/"
+    hidden = [n for n in names if any(p[0] in "._" for p in n.split("/"))]
+    parts = [spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx}").load(root)]
+    parts += [spark.read.format("binaryFile").load([base + n for n in hidden])] if hidden else []
+    raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     at = F.locate(base, F.col("path"))
-    files = raw.select(F.substring(F.col("path"), at + len(base), F.length("path")).alias("path"), F.decode("content", "UTF-8").alias("source"))
-    files = files.where(paths.under(F.col("path"), scope))
+    texts = raw.select(F.substring(F.col("path"), at + len(base), F.length("path")).alias("path"), F.decode("content", "UTF-8").alias("source")).dropDuplicates(["path"])
+    files = spark.createDataFrame([(n,) for n in sorted(names)], "path string").where(paths.under(F.col("path"), scope))
     if include:
         files = files.where(paths.matches_any(F.col("path"), include))
-    return files.where(~paths.matches_any(F.col("path"), exclude)) if exclude else files
+    if exclude:
+        files = files.where(~paths.matches_any(F.col("path"), exclude))
+    return files.join(texts, "path", "left").select("path", F.coalesce("source", F.lit("")).alias("source"))
 
 
 def directories(files: DataFrame) -> DataFrame:
