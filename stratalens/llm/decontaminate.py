@@ -92,7 +92,7 @@ def op1(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _sql_shingles(source: str, keys: str) -> str:
-    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '')"
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
     grams = "unnest([array_to_string(ws[k:k+4], ' ') for k in range(1, len(ws) - 3)])"
     return f"select distinct {keys}, {grams} as shingle from (select *, {words} as ws from {source}) t where len(ws) >= 5"
 
