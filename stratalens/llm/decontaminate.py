@@ -83,8 +83,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no item."""
-    bad = broadcast_if_small(materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    bad = broadcast_if_small(materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("__leak_id")).distinct(), "leaks"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__leak_id")), "left_anti")
 
 
 def op1(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
