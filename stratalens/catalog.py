@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalens.plans import finding_queries, graph_queries, path_queries, rule_cases  # noqa: F401
+from stratalens.plans import finding_queries, graph_queries, path_queries, rule_cases, stream_queries  # noqa: F401
 from stratalens.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "fan_in_top"
