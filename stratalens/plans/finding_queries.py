@@ -89,7 +89,7 @@ def findings_by_file(spark, sf_dir):
     return post.by_file(d.violations(spark, sf_dir))
 
 
-@query("findings_collected", f"with {d.VIOLATIONS} select file, count(*) as n, sum(coalesce(line, 0)) as lines from violations group by 1")
+@query("findings_collected", f"with {d.VIOLATIONS} select file, count(*) as n, cast(sum(coalesce(line, 0)) as bigint) as lines from violations group by 1")
 def findings_collected(spark, sf_dir):
     """A8, unnested to counts."""
     rows = post.collected(d.violations(spark, sf_dir))

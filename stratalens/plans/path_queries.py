@@ -178,7 +178,7 @@ _RUNS = f"{_ITEMS}, runs as (select *, sum(case when q > 40 then 1 else 0 end) o
 
 def _items(spark, sf_dir):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.row_number().over(w).alias("pos"), F.col("l_returnflag").alias("bucket"), F.col("l_partkey").alias("key"), F.col("l_quantity").alias("q"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.row_number().over(w).cast("long").alias("pos"), F.col("l_returnflag").alias("bucket"), F.col("l_partkey").alias("key"), F.col("l_quantity").alias("q"))
 
 
 def _runs(spark, sf_dir):
@@ -195,7 +195,7 @@ def adjacent_order(spark, sf_dir):
 @query("expected_position", f"with {_ITEMS}, e as (select path, pos, row_number() over (partition by path order by bucket, key, pos) as expected from items) select path, pos, expected from e where pos <> expected")
 def expected_position(spark, sf_dir):
     """W4."""
-    return _items(spark, sf_dir).withColumn("expected", F.row_number().over(W.partitionBy("path").orderBy("bucket", "key", "pos"))).where("pos <> expected").select("path", "pos", "expected")
+    return _items(spark, sf_dir).withColumn("expected", F.row_number().over(W.partitionBy("path").orderBy("bucket", "key", "pos")).cast("long")).where("pos <> expected").select("path", "pos", "expected")
 
 
 @query("newline_pairs", f"with {_ITEMS}, n as (select path, pos, bucket, lead(bucket) over (partition by path order by pos) as next_bucket, q from items) select path, pos, bucket, next_bucket from n where next_bucket <> bucket and q < 10")
