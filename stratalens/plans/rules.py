@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratalens.functions import paths
-from stratalens.operators import graph, post, resolve
+from stratalens.operators import cache, graph, post, resolve
 from stratalens.runtime import materialize
 from stratalens.sources import extract
 from stratalens.sources.typescript import LOOPS
@@ -166,11 +166,12 @@ class Config:
 class Facts:
     """Facts of one tree; what several rules need is written out once."""
 
-    def __init__(self, files: DataFrame, config: Config | None = None, aliases: DataFrame | None = None, packages: DataFrame | None = None, entries: DataFrame | None = None, dirs: DataFrame | None = None):
+    def __init__(self, files: DataFrame, config: Config | None = None, aliases: DataFrame | None = None, packages: DataFrame | None = None, entries: DataFrame | None = None, dirs: DataFrame | None = None, cache: str | None = None):
         self.spark: SparkSession = files.sparkSession
         self.config = config or Config()
         self.files = files
         self.aliases, self.packages, self.entries, self._dirs = aliases, packages, entries, dirs
+        self.cache = cache
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -178,7 +179,7 @@ class Facts:
 
     @cached_property
     def syn(self) -> DataFrame:
-        return materialize(extract.syntax(self.sources), "syn")
+        return cache.syntax(self.sources, self.cache)
 
     @cached_property
     def edges(self) -> DataFrame:

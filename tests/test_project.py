@@ -5,7 +5,7 @@ import subprocess
 import pytest
 
 from stratalens.functions import paths
-from stratalens.operators import fix, post
+from stratalens.operators import cache, fix, post
 from stratalens.plans import config, report, rules
 from stratalens.sources import extract, project
 from stratalens.sources.typescript import SyntaxFailure, parse
@@ -171,6 +171,17 @@ def test_incremental_equals_full(spark, tmp_path):
     assert diff == {"src/b.ts": "debugger;\n", "src/n/c.ts": "import '../b';\n", "src/index.ts": None}
 
 
+def test_warm_run_equals_cold_run(spark, tmp_path):
+    cold = rules.Facts(frame(spark, FILES))
+    cache.store(cold.sources, cold.syn, str(tmp_path / "c"))
+    after = dict(FILES) | {"src/b.ts": "debugger;\n", "src/new.ts": "let x: any;\n"}
+    warm = rules.Facts(frame(spark, after), cache=str(tmp_path / "c"))
+    again = rules.Facts(frame(spark, after))
+    assert keys(rules.run(warm, NAMES)) == keys(rules.run(again, NAMES))
+    assert [r.file for r in extract.failures(warm.syn).collect()] == ["src/bad.ts"]
+    assert cache.syntax(cold.sources, str(tmp_path / "none")).count() == cold.syn.count()
+
+
 def test_parser_reads_the_language():
     good = [
         "import React, { type FC, useState as u } from 'react';\nexport * as b from './b'; export { a as default, type T } from \"./c\"; export type { Q } from './q';",
