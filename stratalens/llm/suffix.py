@@ -253,10 +253,10 @@ def _split_hot(rows: DataFrame) -> DataFrame:
     row = "gram long, context long, w long, raw binary, anchor int"
     # distances that a context owns; its last window has the smallest
     owned = (F.col("a") <= F.col("anchor")) & (F.col("b") >= F.col("anchor") - F.octet_length("raw") + MIN_BYTES)
-    parts = lambda *pairs: F.explode(F.array(*[F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")) for a, b in pairs]))
 
     def blocks(df: DataFrame, *pairs) -> DataFrame:
-        return df.select("gram", "context", "w", "raw", "anchor", parts(*pairs).alias("x")).select("gram", "context", "w", "raw", "anchor", "x.a", "x.b").where(owned)
+        parts = [df.select("gram", "context", "w", "raw", "anchor", a.cast("int").alias("a"), b.cast("int").alias("b")).where(owned) for a, b in pairs]
+        return parts[0].unionByName(parts[1])
 
     aimed = map_arrow(rows.select("gram", "context", "w", "raw"), aim, row)
     todo = blocks(aimed, (F.lit(0), F.lit(127)), (F.lit(128), F.lit(255)))
@@ -266,14 +266,17 @@ def _split_hot(rows: DataFrame) -> DataFrame:
         if told.isEmpty():
             break
         total = F.sum("w").alias("n")
-        # a core with one kind of whole block is settled; in a mixed one all go on
+        # a core with one kind of whole block is settled; in a mixed one they go on
         mixed = (F.min("whole") != F.max("whole")).alias("mixed")
         again = materialize(told.groupBy("gram", "a", "core").agg(total, mixed).where("n > 1").drop("n"), "cores")
         settled = materialize(told.groupBy("gram", "whole").agg(total).where("n > 1").select("gram", "whole", F.lit(True).alias("done")), "wholes")
-        live = materialize(told.join(again, ["gram", "a", "core"]).join(settled, ["gram", "whole"], "left").drop("core", "whole"), "live")
+        live = materialize(told.join(again, ["gram", "a", "core"]).join(settled, ["gram", "whole"], "left").drop("core"), "live")
         found.append(live.where("done").select("gram", "context", "low", "high"))
         middle = F.floor((F.col("a") + F.col("b")) / 2)
-        todo = blocks(live.where("mixed and a < b"), (F.col("a"), middle), (middle + 1, F.col("b")))
+        # of settled blocks one of a kind goes on, as a witness for the others
+        further = live.where("mixed and a < b")
+        witnesses = further.where("done").dropDuplicates(["gram", "a", "whole"])
+        todo = blocks(further.where("done is null").unionByName(witnesses), (F.col("a"), middle), (middle + 1, F.col("b")))
     out = found[0] if found else rows.sparkSession.createDataFrame([], "gram long, context long, low int, high int")
     for more in found[1:]:
         out = out.unionByName(more)
