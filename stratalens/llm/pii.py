@@ -145,20 +145,25 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``(row, start, end, action)`` of the terms that exceed a threshold."""
     near = found.where("near is not null").select("row", "text_hash", F.explode("near").alias("x")).select("row", "text_hash", F.col("x.entity").alias("entity"), F.explode("x.terms").alias("t"))
     near = near.select("row", "text_hash", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    texts = found.where("text_hash is not null").select("text_hash").distinct()
     total = found.agg(F.count_distinct("text_hash")).first()[0]
-    joint = near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_both"))
-    joint = materialize(joint.where(F.col("df_both") >= SUPPORT), "joint")
-    terms = broadcast_if_small(joint.select("term").distinct())
-    words = docs.where("text is not null").select(F.xxhash64("text").alias("text_hash"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    df_term = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    joint = near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= SUPPORT)
     entities = found.where("near is not null").select("text_hash", F.explode("near.entity").alias("entity")).distinct()
     df_entity = entities.groupBy("entity").agg(F.count("*").alias("df_entity"))
-    scored = joint.join(df_term, "term").join(df_entity, "entity")
+    # a term stands in at least as many texts as it is near any entity in, so
+    # pairs of common words fall below the threshold at once
+    least = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
     information = F.log(F.lit(float(total)) / F.col("df_entity"))
-    share = F.log(F.lit(float(total)) * F.col("df_both") / (F.col("df_term") * F.col("df_entity"))) / information
-    action = F.when(share > REMOVE, "remove").when(share > GENERALISE, "generalise")
-    flagged = materialize(scored.where(information > 0).withColumn("action", action).where("action is not null").select("entity", "term", "action"), "flagged")
+    share = lambda df: F.log(F.lit(float(total)) * F.col("df_both") / (F.col(df) * F.col("df_entity"))) / information
+    joint = materialize(joint.join(df_entity, "entity").join(least, "term").where((information > 0) & (share("df_near") > GENERALISE)), "joint")
+    # a text that stands in m rows adds m to its terms' counts among texts of
+    # that multiplicity, so dividing them by m counts each text once
+    copies = found.where("text_hash is not null").groupBy("text_hash").agg(F.count("*").alias("m")).where("m > 1")
+    copies = broadcast_if_small(materialize(copies, "copies"))
+    words = docs.where("text is not null").select(F.xxhash64("text").alias("text_hash"), "text").join(copies, "text_hash", "left")
+    words = words.select(F.coalesce("m", F.lit(1).cast("long")).alias("m"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    df_term = words.groupBy("term", "m").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.expr("n div m")).alias("df_term"))
+    action = F.when(share("df_term") > REMOVE, "remove").when(share("df_term") > GENERALISE, "generalise")
+    flagged = materialize(joint.join(df_term, "term").withColumn("action", action).where("action is not null").select("entity", "term", "action"), "flagged")
     return near.join(broadcast_if_small(flagged), ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))
 
 
