@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators.components import connected_components
-from stratalens.runtime import map_arrow, materialize, prepare
+from stratalens.runtime import broadcast_if_small, map_arrow, materialize, prepare
 
 RADIUS = 3
 SHINGLE = 3
@@ -217,13 +217,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest
     ``doc_id``; of rows that share it, one.  Rows without an id stay."""
-    found = near_duplicates(docs)
-    keep = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")), "keep")
-    once = docs.join(keep.where("_rows = 1"), F.col("doc_id") == F.col("_keep"), "left_semi")
-    repeated = keep.where("_rows > 1")
-    if not repeated.isEmpty():
-        once = once.unionByName(docs.join(repeated, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"]))
-    return once.unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs).where("doc_id is not null")
+    state = materialize(found.groupBy(F.col("doc_id").alias("__near_id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows")), "state")
+    # the ids that go are few, so the texts seldom need a shuffle
+    out = docs.join(broadcast_if_small(state.where("not __stays").select("__near_id")), F.col("doc_id") == F.col("__near_id"), "left_anti")
+    repeated = state.where("__stays and __rows > 1").select("__near_id")
+    if repeated.isEmpty():
+        return out
+    repeated = broadcast_if_small(repeated)
+    same = F.col("doc_id") == F.col("__near_id")
+    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op10(docs: DataFrame) -> DataFrame:

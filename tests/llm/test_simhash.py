@@ -66,7 +66,7 @@ def test_links_lose_no_pair(spark):
 def test_near_duplicates_and_edges(spark):
     base = " ".join(f"word{i % 37}x{i}" for i in range(400))
     rows = [(7, base), (3, base), (5, base + " end"), (9, None), (8, ""), (1, "solo text of its own kind"), (None, base), (3, base)]
-    docs = spark.createDataFrame([Row(doc_id=i, text=t, fp="clash", component_id="clash") for i, t in rows], "doc_id long, text string, fp string, component_id string")
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, fp="clash", component_id="clash", _id="clash") for i, t in rows], "doc_id long, text string, fp string, component_id string, _id string")
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.op10(docs).collect()}
     fps = [simhash.fingerprint(t) for _, t in rows]
     roots = slow_components(fps)
