@@ -1,19 +1,22 @@
 """Information-theoretic sanitisation of personal data.
 
 Base formats give the protected entities: e-mail addresses, IP addresses, card and
-phone numbers.  Terms (four or more letters or digits) within ``REACH`` characters of
-an entity are weighed by what they reveal of it.  Over the whole corpus, with
-``df`` counting documents of different text,
+phone numbers.  Terms (four or more letters or digits) that stand in a text with an
+entity, wherever in it, are weighed by what they reveal of it.  Over the whole
+corpus, with ``df`` counting documents of different text,
 
-    PMI(t; e) = ln(N * df(t near e) / (df(t) * df(e)))     IC(e) = ln(N / df(e))
+    PMI(t; e) = ln(N * df(t with e) / (df(t) * df(e)))     IC(e) = ln(N / df(e))
 
 and ``PMI / IC`` is the share of the entity's information that the term gives away.
-A term seen near an entity in at least ``SUPPORT`` different texts is generalised if
-that share exceeds ``GENERALISE`` and removed if it exceeds ``REMOVE``.
+A term seen with an entity in at least ``SUPPORT`` different texts is generalised if
+that share exceeds ``GENERALISE`` and removed if it exceeds ``REMOVE``, for the entity
+of which it reveals most.  That holds for each of its occurrences in each text, with
+or without the entity; only a run of letters and digits that reaches into a base
+span is no term.
 
 Only DataFrame functions run.  Matches get their places from the lengths of the
-pieces between them.  Each match yields a bounded number of terms, so a document
-with many entities emits no pairs of all its terms with all of them.  Patterns are
+pieces between them.  Terms and entities of a text are paired only after both were
+reduced to those whose counts alone do not rule a disclosure out.  Patterns are
 possessive, hence linear in long runs; they match what the plain ones match.
 
 Null and empty texts have no spans.  Spans are code points, end exclusive.
@@ -37,7 +40,10 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 TERM = r"[\p{L}\p{N}]{4,}"
-REACH = 64
+#: Runs of the masked text; those with U+0001 reach into a base span.
+RUN = r"[\p{L}\p{N}\x01]{4,}"
+#: Runs whose places are summed at a time.
+BLOCK = 64
 SUPPORT = 3
 GENERALISE = 0.5
 REMOVE = 0.9
@@ -103,15 +109,24 @@ def base_spans(text: str = "text") -> dict[str, Column]:
     return out
 
 
-def _terms(side: Column, offset: Column, inner_start: bool, inner_end: bool, length: Column) -> Column:
-    """Terms of a context, placed in the text; a term that the far end of the
-    context may have cut is left out."""
-    found = matches(F.lower(side), TERM)
-    if inner_start:
-        found = F.filter(found, lambda t: (t["start"] > 0) | (offset == 0))
-    if inner_end:
-        found = F.filter(found, lambda t: (t["end"] < F.length(side)) | (offset + F.length(side) >= length))
-    return F.transform(found, lambda t: F.struct((t["start"] + offset).alias("start"), (t["end"] + offset).alias("end"), t["value"].alias("value")))
+def _lower(text: Column) -> Column:
+    """Lower case of the same length: only a dotted capital I would grow."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
+def _masked(spans: Column) -> Column:
+    """``text`` in lower case, letters and digits in ``spans`` replaced by U+0001."""
+    text = F.translate(F.col("text"), "\x01", " ")
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], acc["at"])
+        hidden = F.regexp_replace(F.substring(text, start + 1, s["end"] - start), "[A-Za-z0-9]", "\x01")
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), hidden)
+        return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), more.alias("out"))).otherwise(acc)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return _lower(F.aggregate(F.array_sort(spans), zero, step, rest))
 
 
 def _entities(kind: str) -> Column:
@@ -120,59 +135,119 @@ def _entities(kind: str) -> Column:
     return F.transform(F.col(kind), lambda s: F.struct(F.concat(F.lit(f"{kind}:"), plain(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def _every() -> Column:
+    """Base spans of all kinds as ``(start, end)``."""
+    return F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+
+
 def detect(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, text_hash, email, ip, card, phone, near)``, written out.
+    """``(row, doc_id, text_hash, email, ip, card, phone, entities, words)``, written
+    out.
 
-    ``near`` lists, for each base span, its value and the terms around it."""
+    ``entities`` and ``words`` list the different entities and terms of a text
+    with a base span."""
     row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     texts = docs.select("doc_id", "text", row.alias("row")).withColumns(base_spans())
-    texts = texts.withColumn("every", F.concat(*[_entities(k) for k in KINDS]))
-    text, length = F.col("text"), F.length("text")
+    every = F.concat(*[_entities(k) for k in KINDS])
+    texts = texts.withColumn("entities", F.when(F.size(every) > 0, F.array_distinct(F.transform(every, lambda s: s["entity"]))))
+    runs = F.regexp_extract_all(_masked(_every()), F.lit(RUN), F.lit(0))
+    words = F.array_distinct(F.filter(runs, lambda t: ~t.contains("\x01")))
+    texts = texts.withColumn("words", F.when(F.col("entities").isNotNull(), words))
+    return materialize(texts.select("row", "doc_id", _hash().alias("text_hash"), *KINDS, "entities", "words"), "pii")
+
 
-    def context(s: Column) -> Column:
-        low = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substring(text, low + 1, s["start"] - low)
-        right = F.substring(text, s["end"] + 1, F.lit(REACH))
-        terms = F.concat(_terms(left, low, True, False, length), _terms(right, s["end"], False, True, length))
-        free = F.filter(terms, lambda t: ~F.exists(F.col("every"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        return F.struct(s["entity"].alias("entity"), free.alias("terms"))
+def _hash() -> Column:
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
 
-    near = F.when(F.size("every") > 0, F.transform("every", context))
-    return materialize(texts.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), *KINDS, near.alias("near")), "pii")
+
+def _words(docs: DataFrame) -> DataFrame:
+    """``(text_hash, term)`` of every row, each term once."""
+    terms = F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))
+    return docs.where("text is not null").select(_hash().alias("text_hash"), F.explode(terms).alias("term"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(row, start, end, action)`` of the terms that exceed a threshold."""
-    near = found.where("near is not null").select("row", "text_hash", F.explode("near").alias("x")).select("row", "text_hash", F.col("x.entity").alias("entity"), F.explode("x.terms").alias("t"))
-    near = near.select("row", "text_hash", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    total = found.agg(F.count_distinct("text_hash")).first()[0]
-    joint = near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= SUPPORT)
-    entities = found.where("near is not null").select("text_hash", F.explode("near.entity").alias("entity")).distinct()
-    df_entity = entities.groupBy("entity").agg(F.count("*").alias("df_entity"))
-    # a term stands in at least as many texts as it is near any entity in, so
-    # pairs of common words fall below the threshold at once
-    least = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
-    information = F.log(F.lit(float(total)) / F.col("df_entity"))
-    share = lambda df: F.log(F.lit(float(total)) * F.col("df_both") / (F.col(df) * F.col("df_entity"))) / information
-    joint = materialize(joint.join(df_entity, "entity").join(least, "term").where((information > 0) & (share("df_near") > GENERALISE)), "joint")
-    # a text that stands in m rows adds m to its terms' counts among texts of
-    # that multiplicity, so dividing them by m counts each text once
+    """``(term, action)`` of the terms that exceed a threshold for some entity."""
+    # a text that stands in m rows adds m to the counts among texts of that
+    # multiplicity, so dividing them by m counts each text once
     copies = found.where("text_hash is not null").groupBy("text_hash").agg(F.count("*").alias("m")).where("m > 1")
     copies = broadcast_if_small(materialize(copies, "copies"))
-    words = docs.where("text is not null").select(F.xxhash64("text").alias("text_hash"), "text").join(copies, "text_hash", "left")
-    words = words.select(F.coalesce("m", F.lit(1).cast("long")).alias("m"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    df_term = words.groupBy("term", "m").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.expr("n div m")).alias("df_term"))
-    action = F.when(share("df_term") > REMOVE, "remove").when(share("df_term") > GENERALISE, "generalise")
-    flagged = materialize(joint.join(df_term, "term").withColumn("action", action).where("action is not null").select("entity", "term", "action"), "flagged")
-    return near.join(broadcast_if_small(flagged), ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))
+    once = F.coalesce("m", F.lit(1).cast("long")).alias("m")
+
+    def df(rows: DataFrame, *keys: str) -> DataFrame:
+        counts = rows.groupBy(*keys, "m").agg(F.count("*").alias("n"))
+        return counts.groupBy(*keys).agg(F.sum(F.expr("n div m")).alias("df")).where(F.col("df") >= SUPPORT)
+
+    total = float(found.agg(F.count_distinct("text_hash")).first()[0])
+    carriers = found.where("entities is not null").join(copies, "text_hash", "left").select("row", once, "entities", "words")
+    entities = df(carriers.select("m", F.explode("entities").alias("entity")), "entity").where(F.col("df") < total)
+    entities = materialize(entities.withColumnRenamed("df", "df_entity"), "entities")
+    most = entities.agg(F.max("df_entity")).first()[0]
+    information = lambda c: F.log(F.lit(total) / F.col(c))
+    # at best a term is with the entity in all texts of the rarer one
+    bound = lambda df_entity: F.log(F.lit(total) / F.greatest("df_term", df_entity)) > GENERALISE * F.log(F.lit(total) / df_entity) - 1e-9
+    terms = df(_words(docs).join(copies, "text_hash", "left").select("term", once), "term").withColumnRenamed("df", "df_term")
+    terms = materialize(terms.where(bound(F.lit(most).cast("long"))), "terms")
+    own = carriers.select("row", F.explode("entities").alias("entity")).join(broadcast_if_small(entities), "entity")
+    own = own.groupBy("row").agg(F.collect_list(F.struct("entity", "df_entity")).alias("own"))
+    own = broadcast_if_small(materialize(own, "own"))
+    pairs = carriers.select("row", "m", F.explode("words").alias("term")).join(broadcast_if_small(terms), "term").join(own, "row")
+    pairs = pairs.select("m", "term", "df_term", F.inline("own")).where(bound(F.col("df_entity")))
+    joint = df(pairs, "entity", "term", "df_entity", "df_term")
+    share = F.log(F.lit(total) * F.col("df") / (F.col("df_term") * F.col("df_entity"))) / information("df_entity")
+    action = F.when(share > REMOVE, "remove").when(share > GENERALISE, "generalise")
+    return materialize(joint.withColumn("action", action).where("action is not null").groupBy("term").agg(F.max("action").alias("action")), "flagged")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``(text_hash, terms)``: all runs of a text, as ``(value, start)``.
+
+    Their places are running sums, taken over blocks of ``BLOCK`` runs and over
+    the blocks, since appending to one long array takes time in its square."""
+    texts = docs.where("text is not null").select(_hash().alias("text_hash"), "text").withColumns(base_spans())
+    texts = texts.select("text_hash", _masked(_every()).alias("low"))
+    gaps, hits = F.split("low", RUN, -1), F.regexp_extract_all("low", F.lit(RUN), F.lit(0))
+    steps = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("value")))
+    texts = texts.select("text_hash", F.filter(steps, lambda x: x["value"].isNotNull()).alias("steps"))
+    at = F.sequence(F.lit(0), F.expr(f"cast((size(steps) - 1) div {BLOCK} as int)"))
+    texts = texts.select("text_hash", F.transform(at, lambda i: F.slice("steps", i * BLOCK + 1, F.lit(BLOCK))).alias("blocks"))
+    add = lambda at, x: at + x["gap"] + F.length(x["value"])
+    sums = F.transform("blocks", lambda block: F.aggregate(block, F.lit(0), add))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    starts = F.aggregate(
+        sums,
+        F.struct(F.lit(0).alias("at"), none("int").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        lambda acc: acc["out"],
+    )
+
+    def place(block: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            term = F.struct(x["value"].alias("value"), (acc["at"] + x["gap"]).alias("start"))
+            return F.struct(add(acc["at"], x).alias("at"), F.array_append(acc["out"], term).alias("out"))
+
+        zero = F.struct(start.alias("at"), none("struct<value:string,start:int>").alias("out"))
+        return F.aggregate(block, zero, step, lambda acc: acc["out"])
+
+    return texts.select("text_hash", F.flatten(F.zip_with("blocks", starts, place)).alias("terms"))
+
+
+def occurrences(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``(text_hash, terms)``: in each text with a flagged term, the spans of all
+    its occurrences, in order."""
+    # the outer form, as Spark would push a filter on the array's size below and
+    # work the array out again there, block by block
+    rows = _placed(docs).select("text_hash", F.inline_outer("terms")).withColumnRenamed("value", "term").join(broadcast_if_small(flagged), "term")
+    span = F.struct("start", (F.col("start") + F.length("term")).alias("end"), "action")
+    return rows.groupBy("text_hash").agg(F.sort_array(F.collect_set(span)).alias("terms"))
 
 
 def _with_terms(docs: DataFrame) -> DataFrame:
     """``detect`` with ``terms``, the spans of disclosing terms in order."""
     found = detect(docs)
-    own = disclosures(docs, found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    own = materialize(occurrences(docs, disclosures(docs, found)), "terms")
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return found.join(materialize(own, "terms"), "row", "left").withColumn("terms", F.coalesce("terms", none))
+    return found.join(own, "text_hash", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def _listed(kind: str, column: str) -> Column:
