@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.runtime import materialize
+from stratalens.runtime import materialize, release
 
 MAX_ROUNDS = 60
 
@@ -31,14 +31,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes = links.select(F.col("a").alias("node")).distinct()
     links = links.where("a <> b")
     steps: list[DataFrame] = []
+    table = None
     for seed in range(MAX_ROUNDS):
         if links.isEmpty():
             break
-        near = materialize(
+        near = (
             links.groupBy("a")
             .agg(F.min(_priority("b", seed)).alias("m"))
-            .select(F.col("a").alias("node"), F.least("m", _priority("a", seed)).alias("m")),
-            "near",
+            .select(F.col("a").alias("node"), F.least("m", _priority("a", seed)).alias("m"))
         )
         step = materialize(
             links.join(near.withColumnRenamed("node", "b"), "b")
@@ -50,10 +50,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         steps.append(step)
         left = step.select(F.col("node").alias("a"), F.col("label").alias("la"))
         right = step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        links = materialize(
+        shorter = materialize(
             links.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(),
             "links",
         )
+        if seed:
+            release(table)
+        links = table = shorter
     else:
         raise RuntimeError("connected components did not converge")
     found = nodes.withColumn("label", F.col("node"))
@@ -62,4 +65,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         found = found.join(hop, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
     found = materialize(found, "found")
     least = materialize(found.groupBy("label").agg(F.min("node").alias("component")), "least")
+    release(*steps)
     return found.join(least, "label").select("node", "component")

@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,6 +21,10 @@ BROADCAST_ROWS = 200_000
 ARROW_ROWS = 512
 ARROW_BYTES = 8 << 20
 
+#: Seconds between two runs of the driver's collector.
+SWEEP_SECONDS = 5.0
+_swept = 0.0
+
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -60,24 +65,38 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
-    Cuts lineage: a lost executor costs a re-read, not a recomputation.  The
-    driver's collector runs afterwards, so that Spark drops the shuffle files
-    behind what was written.  The folder is removed when the driver exits.
+    Cuts lineage: a lost executor costs a re-read, not a recomputation.  Now and
+    then the driver's collector runs afterwards, so that Spark drops the shuffle
+    files behind what was written.  The folder is removed by ``release`` or when
+    the driver exits.
     """
+    global _swept
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stratalens-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _swept > SWEEP_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _swept = time.monotonic()
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stratalens_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._stratalens_path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a bounded count proves ``df`` has few rows.
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Hint a broadcast only if a bounded count proves ``df`` has few rows,
+    ``BROADCAST_ROWS`` unless told otherwise.
 
     ``df`` should be materialized.  Beyond the bound the join is left to
     Spark's shuffle joins, which split skewed keys at run time.
     """
+    rows = BROADCAST_ROWS if rows is None else rows
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
