@@ -1,23 +1,27 @@
 """Information-theoretic sanitisation of personal data.
 
 Base formats give the protected entities: e-mail addresses, IP addresses, card and
-phone numbers.  Terms (four or more letters or digits) that stand in a text with an
-entity, wherever in it, are weighed by what they reveal of it.  Over the whole
-corpus, with ``df`` counting documents of different text,
+phone numbers.  Terms (runs of letters and digits) that stand in a document with an
+entity, wherever in it, are weighed by what they reveal of it.  Over all N documents
+that have a text, with ``df`` counting documents and ``p`` the lower end of the Wilson
+interval (``Z``) for the share ``df(t with e) / df(t)`` of a term's documents that hold
+the entity,
 
-    PMI(t; e) = ln(N * df(t with e) / (df(t) * df(e)))     IC(e) = ln(N / df(e))
+    PMI(t; e) = ln(N * p / df(e))     IC(e) = ln(N / df(e))
 
-and ``PMI / IC`` is the share of the entity's information that the term gives away.
-A term seen with an entity in at least ``SUPPORT`` different texts is generalised if
-that share exceeds ``GENERALISE`` and removed if it exceeds ``REMOVE``, for the entity
-of which it reveals most.  That holds for each of its occurrences in each text, with
-or without the entity; only a run of letters and digits that reaches into a base
-span is no term.
+and ``PMI / IC`` is the share of the entity's information that the term gives away for
+sure.  A term is generalised if that share exceeds ``GENERALISE`` and removed if it
+exceeds ``REMOVE``, for the entity of which it reveals most.  That holds for each of
+its occurrences in each document, with or without the entity; only a run of letters
+and digits that reaches into a base span is no term.  No entity or term is exempt: a
+rare one has a wide interval, and nothing else, in its favour.
+
+In one text, entities that stand in no other text are alike to every term, and so is
+a term that stands in no other text to every entity but for the entity's frequency;
+one of each is weighed for all, so that pairs are made only of what recurs.
 
 Only DataFrame functions run.  Matches get their places from the lengths of the
-pieces between them.  Terms and entities of a text are paired only after both were
-reduced to those whose counts alone do not rule a disclosure out.  Patterns are
-possessive, hence linear in long runs; they match what the plain ones match.
+pieces between them.  Patterns are possessive, hence linear in long runs; they match what the plain ones match.
 
 Null and empty texts have no spans.  Spans are code points, end exclusive.
 Repeated rows each get a row, texts are searched whole, a null ``doc_id`` keeps its
@@ -39,17 +43,16 @@ PATTERNS = {
     "card": (r"[0-9]++(?:[\x20-][0-9]++)*+", r"(?:[0-9][\x20-]?){13}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-TERM = r"[\p{L}\p{N}]{4,}"
+TERM = r"[\p{L}\p{N}]+"
 #: Runs of the masked text; those with U+0001 reach into a base span.
-RUN = r"[\p{L}\p{N}\x01]{4,}"
+RUN = r"[\p{L}\p{N}\x01]+"
 #: Runs whose places are summed at a time.
 BLOCK = 64
-SUPPORT = 3
-GENERALISE = 0.5
+#: One-sided normal quantile of 95 %.
+Z = 1.645
+GENERALISE = 0.8
 REMOVE = 0.9
 
-#: A column of this name numbers the rows; without it they are numbered here.
-ROW = "_pii_row"
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -140,20 +143,20 @@ def _every() -> Column:
     return F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, text_hash, email, ip, card, phone, entities, words)``, written
-    out.
+def detect(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """``(row, doc_id, text_hash, email, ip, card, phone, entities, words, carrier)``,
+    written out; ``row`` numbers the rows if given.
 
     ``entities`` and ``words`` list the different entities and terms of a text
-    with a base span."""
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    texts = docs.select("doc_id", "text", row.alias("row")).withColumns(base_spans())
+    with a base span, and ``carrier`` is that text."""
+    number = F.monotonically_increasing_id() if row is None else row
+    texts = docs.select("doc_id", "text", number.alias("row")).withColumns(base_spans())
     every = F.concat(*[_entities(k) for k in KINDS])
     texts = texts.withColumn("entities", F.when(F.size(every) > 0, F.array_distinct(F.transform(every, lambda s: s["entity"]))))
     runs = F.regexp_extract_all(_masked(_every()), F.lit(RUN), F.lit(0))
     words = F.array_distinct(F.filter(runs, lambda t: ~t.contains("\x01")))
-    texts = texts.withColumn("words", F.when(F.col("entities").isNotNull(), words))
-    return materialize(texts.select("row", "doc_id", _hash().alias("text_hash"), *KINDS, "entities", "words"), "pii")
+    texts = texts.withColumn("words", F.when(F.col("entities").isNotNull(), words)).withColumn("carrier", F.when(F.col("entities").isNotNull(), F.col("text")))
+    return materialize(texts.select("row", "doc_id", _hash().alias("text_hash"), *KINDS, "entities", "words", "carrier"), "pii")
 
 
 def _hash() -> Column:
@@ -166,46 +169,55 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(_hash().alias("text_hash"), F.explode(terms).alias("term"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(term, action)`` of the terms that exceed a threshold for some entity."""
-    # a text that stands in m rows adds m to the counts among texts of that
-    # multiplicity, so dividing them by m counts each text once
-    copies = found.where("text_hash is not null").groupBy("text_hash").agg(F.count("*").alias("m")).where("m > 1")
-    copies = broadcast_if_small(materialize(copies, "copies"))
-    once = F.coalesce("m", F.lit(1).cast("long")).alias("m")
-
-    def df(rows: DataFrame, *keys: str) -> DataFrame:
-        counts = rows.groupBy(*keys, "m").agg(F.count("*").alias("n"))
-        return counts.groupBy(*keys).agg(F.sum(F.expr("n div m")).alias("df")).where(F.col("df") >= SUPPORT)
-
-    total = float(found.agg(F.count_distinct("text_hash")).first()[0])
-    carriers = found.where("entities is not null").join(copies, "text_hash", "left").select("row", once, "entities", "words")
-    entities = df(carriers.select("m", F.explode("entities").alias("entity")), "entity").where(F.col("df") < total)
-    entities = materialize(entities.withColumnRenamed("df", "df_entity"), "entities")
-    most = entities.agg(F.max("df_entity")).first()[0]
-    information = lambda c: F.log(F.lit(total) / F.col(c))
-    # at best a term is with the entity in all texts of the rarer one
-    bound = lambda df_entity: F.log(F.lit(total) / F.greatest("df_term", df_entity)) > GENERALISE * F.log(F.lit(total) / df_entity) - 1e-9
-    terms = df(_words(docs).join(copies, "text_hash", "left").select("term", once), "term").withColumnRenamed("df", "df_term")
-    terms = materialize(terms.where(bound(F.lit(most).cast("long"))), "terms")
-    own = carriers.select("row", F.explode("entities").alias("entity")).join(broadcast_if_small(entities), "entity")
-    own = own.groupBy("row").agg(F.collect_list(F.struct("entity", "df_entity")).alias("own"))
+def carriers(found: DataFrame) -> DataFrame:
+    """``(text_hash, m, entities, words, text)``: each text with a base span once,
+    with the number of documents that hold it."""
+    own = found.where("entities is not null").groupBy("text_hash").agg(F.count("*").alias("m"), F.first(F.struct("entities", "words", "carrier")).alias("c"))
+    return materialize(own.select("text_hash", "m", "c.entities", "c.words", F.col("c.carrier").alias("text")), "carriers")
+
+
+def sure_share(joint: Column, df_term: Column) -> Column:
+    """Lower end of the Wilson interval for ``joint`` of ``df_term``."""
+    p, z2 = joint / df_term, Z * Z
+    return (p + z2 / (2 * df_term) - Z * F.sqrt(p * (1 - p) / df_term + z2 / (4 * df_term * df_term))) / (1 + z2 / df_term)
+
+
+def disclosures(docs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(term, action, outside)`` of the terms that exceed a threshold for some
+    entity; ``outside`` tells whether the term stands in other texts, too."""
+    total = F.lit(float(found.where("text_hash is not null").count()))
+    entities = texts.select("m", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("m").alias("df_entity"))
+    entities = broadcast_if_small(materialize(entities.where(F.col("df_entity") < total), "entities"))
+    inside = texts.select("m", F.explode("words").alias("term")).groupBy("term").agg(F.sum("m").alias("inside"))
+    # both sides are combined by term, so this join moves nothing further
+    terms = _words(docs).groupBy("term").agg(F.count("*").alias("df_term")).join(inside.hint("merge"), "term")
+    terms = materialize(terms, "terms")
+
+    def share(joint: Column) -> Column:
+        return F.log(total * sure_share(joint, F.col("df_term")) / F.col("df_entity")) / F.log(total / F.col("df_entity"))
+
+    own = texts.select("text_hash", "m", F.explode("entities").alias("entity")).join(entities, "entity")
+    # entities that stand in no other text: one speaks for all
+    own = own.groupBy("text_hash", F.when(F.col("df_entity") > F.col("m"), F.col("entity")).alias("e")).agg(F.first(F.struct("df_entity", "entity")).alias("x"))
+    own = own.groupBy("text_hash").agg(F.array_sort(F.collect_list("x")).alias("own"))
     own = broadcast_if_small(materialize(own, "own"))
-    pairs = carriers.select("row", "m", F.explode("words").alias("term")).join(broadcast_if_small(terms), "term").join(own, "row")
-    pairs = pairs.select("m", "term", "df_term", F.inline("own")).where(bound(F.col("df_entity")))
-    joint = df(pairs, "entity", "term", "df_entity", "df_term")
-    share = F.log(F.lit(total) * F.col("df") / (F.col("df_term") * F.col("df_entity"))) / information("df_entity")
-    action = F.when(share > REMOVE, "remove").when(share > GENERALISE, "generalise")
-    return materialize(joint.withColumn("action", action).where("action is not null").groupBy("term").agg(F.max("action").alias("action")), "flagged")
+    pairs = texts.select("text_hash", "m", F.explode("words").alias("term")).join(broadcast_if_small(terms), "term").join(own, "text_hash")
+    # a term that stands in no other text reveals most of the rarest entity
+    pairs = pairs.select("m", "term", "df_term", "inside", F.inline(F.when(F.col("df_term") == F.col("m"), F.slice("own", 1, 1)).otherwise(F.col("own"))))
+    pairs = pairs.where(share(F.least("df_term", "df_entity")) > GENERALISE)
+    joint = pairs.groupBy("entity", "term", "df_entity", "df_term", "inside").agg(F.sum("m").alias("joint"))
+    best = joint.groupBy("term", (F.col("df_term") > F.col("inside")).alias("outside")).agg(F.max(share(F.col("joint"))).alias("share"))
+    action = F.when(F.col("share") > REMOVE, "remove").otherwise("generalise")
+    return materialize(best.where(F.col("share") > GENERALISE).select("term", action.alias("action"), "outside"), "flagged")
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """``(text_hash, terms)``: all runs of a text, as ``(value, start)``.
+def _placed(texts: DataFrame) -> DataFrame:
+    """``(text_hash, terms)``: all runs of ``texts(text_hash, text)``, as
+    ``(value, start)``.
 
     Their places are running sums, taken over blocks of ``BLOCK`` runs and over
     the blocks, since appending to one long array takes time in its square."""
-    texts = docs.where("text is not null").select(_hash().alias("text_hash"), "text").withColumns(base_spans())
-    texts = texts.select("text_hash", _masked(_every()).alias("low"))
+    texts = texts.withColumns(base_spans()).select("text_hash", _masked(_every()).alias("low"))
     gaps, hits = F.split("low", RUN, -1), F.regexp_extract_all("low", F.lit(RUN), F.lit(0))
     steps = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("value")))
     texts = texts.select("text_hash", F.filter(steps, lambda x: x["value"].isNotNull()).alias("steps"))
@@ -232,22 +244,32 @@ def _placed(docs: DataFrame) -> DataFrame:
     return texts.select("text_hash", F.flatten(F.zip_with("blocks", starts, place)).alias("terms"))
 
 
-def occurrences(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, texts: DataFrame, flagged: DataFrame) -> DataFrame:
     """``(text_hash, terms)``: in each text with a flagged term, the spans of all
     its occurrences, in order."""
+    flags = broadcast_if_small(flagged.select("term", "action"))
+    # most flagged terms stand in texts with a base span only, which are at hand
+    own = texts.select("text_hash", F.explode("words").alias("term")).join(broadcast_if_small(flagged.where("not outside").select("term")), "term", "left_semi").select("text_hash")
+    other = _words(docs).join(broadcast_if_small(flagged.where("outside").select("term")), "term", "left_semi").select("text_hash")
+    marked = materialize(own.union(other).distinct(), "marked")
+    known = texts.select("text_hash", "text").join(broadcast_if_small(marked), "text_hash", "left_semi")
+    rest = broadcast_if_small(materialize(marked.join(broadcast_if_small(texts.select("text_hash")), "text_hash", "left_anti"), "rest"))
+    more = docs.select(_hash().alias("text_hash"), "text").join(rest, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    held = materialize(known.unionByName(more), "held")
     # the outer form, as Spark would push a filter on the array's size below and
     # work the array out again there, block by block
-    rows = _placed(docs).select("text_hash", F.inline_outer("terms")).withColumnRenamed("value", "term").join(broadcast_if_small(flagged), "term")
+    rows = _placed(held).select("text_hash", F.inline_outer("terms")).withColumnRenamed("value", "term").join(flags, "term")
     span = F.struct("start", (F.col("start") + F.length("term")).alias("end"), "action")
     return rows.groupBy("text_hash").agg(F.sort_array(F.collect_set(span)).alias("terms"))
 
 
-def _with_terms(docs: DataFrame) -> DataFrame:
+def _with_terms(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """``detect`` with ``terms``, the spans of disclosing terms in order."""
-    found = detect(docs)
-    own = materialize(occurrences(docs, disclosures(docs, found)), "terms")
+    found = detect(docs, row)
+    texts = carriers(found)
+    own = materialize(occurrences(docs, texts, disclosures(docs, found, texts)), "terms")
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return found.join(own, "text_hash", "left").withColumn("terms", F.coalesce("terms", none))
+    return found.drop("entities", "words", "carrier").join(broadcast_if_small(own), "text_hash", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def _listed(kind: str, column: str) -> Column:
@@ -264,17 +286,18 @@ def op8(docs: DataFrame) -> DataFrame:
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, _listed("term", "terms")), ",").alias("spans"),
         F.size("terms").cast("long").alias("n_term"),
+        F.size(base).cast("long").alias("n_base"),
     )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)``: entities become ``<KIND>``, generalised terms ``<TERM>``,
     and removed terms vanish.  Of overlapping spans the first counts."""
-    stored = materialize(docs.select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id()), "texts")
+    stored = materialize(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
     spans = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{k.upper()}>").alias("mark")))
     extra = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("<TERM>").alias("mark")))
-    marks = _with_terms(stored).select(F.col("row").alias(ROW), F.array_sort(F.concat(*[spans(k) for k in KINDS], extra)).alias("marks"))
-    rows = stored.join(marks, ROW)
+    marks = _with_terms(stored, F.col("row")).select("row", F.array_sort(F.concat(*[spans(k) for k in KINDS], extra)).alias("marks"))
+    rows = stored.join(marks, "row")
 
     def splice(acc: Column, s: Column) -> Column:
         more = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["mark"])
