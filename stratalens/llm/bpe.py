@@ -4,7 +4,9 @@ The rank file is read once on the driver and sent to the workers (its size is
 fixed by the vocabulary), so executors need no copy of it.  Long texts are cut
 before white space that follows other characters: the pre-splitting pattern
 never matches across such a place, so the ids equal those of the whole text.
-Ids decode to raw bytes.  Null texts count as empty and have no ids.
+Ids decode to raw bytes.  Null texts count as empty and have no ids; a null
+``doc_id`` keeps its row, repeated rows each get a row, an empty table gives none,
+and extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from stratalens.runtime import map_arrow, prepare
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts longer than this many characters are encoded in pieces of about it.
 PIECE_CHARS = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: Only white space of the pattern's own ``\\s``; Python's has U+001C to U+001F, too.
+_SAFE = re.compile(r"(?<=\S)(?=[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])")
 _LOADED: dict[bytes, tiktoken.Encoding] = {}
 
 

@@ -31,6 +31,7 @@ FIT_DOCS = 1500
 #: Length of a profile.
 PROFILE = 300
 UNKNOWN = "und"
+#: Characters of a text that are counted at once.
 CHUNK = 1 << 20
 _TABLE: list[np.ndarray] = []
 
@@ -52,17 +53,23 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams (packed in 21 bits a letter) and their counts."""
     keys, counts = [], []
     text = text or ""
+    last = np.full(2, 32, np.uint64)
     for at in range(0, len(text), CHUNK):
         part = text[at : at + CHUNK]
-        points = _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")]
-        points = np.concatenate([[32], points, [32]]).astype(np.uint64)
-        points = points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])]
+        points = _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.uint64)
+        if at + CHUNK >= len(text):
+            points = np.append(points, np.uint64(32))
+        # the last two points go on into the next chunk; blanks in a row are one
+        points = np.concatenate([last, points])
+        points = points[np.concatenate([[True, True], (points[2:] != 32) | (points[1:-1] != 32)])]
+        last = points[-2:]
         if points.size < 3:
             continue
         letter = points != 32
         two = (points[:-1] << np.uint64(21)) | points[1:]
         three = (two[:-1] << np.uint64(21)) | points[2:]
-        k, n = np.unique(np.concatenate([points[letter], two, three[letter[1:-1]]]), return_counts=True)
+        # n-grams that end at a new point; of blank pairs there is only the first
+        k, n = np.unique(np.concatenate([points[2:][letter[2:]], two[1:][letter[1:-1] | letter[2:]], three[letter[1:-1]]]), return_counts=True)
         keys.append(k)
         counts.append(n)
     if not keys:

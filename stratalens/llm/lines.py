@@ -1,11 +1,10 @@
 """Quality rules with cross-document line frequency.
 
-Every line of at least ``LINE_WORDS`` words is normalised (A-Z lower-cased, white
-space collapsed) and hashed together with its host (``source``).  A line that
-stands in more than ``LIMIT`` distinct documents of one host is boilerplate and is
-removed; a document is depleted, and rejected, if fewer than half of its words or
-fewer than ``MIN_WORDS`` words remain.  Documents with the same text count once:
-copies are not evidence that a line is boilerplate.
+Every line that has a word is normalised (A-Z lower-cased, white space collapsed)
+and hashed together with its host (``source``).  A line that stands in more than
+``LIMIT`` documents of one host is boilerplate and is removed; a document is
+depleted, and rejected, if fewer than half of its words or fewer than ``MIN_WORDS``
+words remain.  Each row is a document, copies too; a line counts once in each.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  A null text has none; a null host is a host of its
 own; null ids keep their row.  Counts cover all documents; every count is combined
@@ -22,9 +21,8 @@ from pyspark.sql import functions as F
 
 from stratalens.runtime import broadcast_if_small, map_arrow, materialize, prepare
 
-#: Distinct documents of a host that may share a line.
+#: Documents of a host that may share a line.
 LIMIT = 20
-LINE_WORDS = 5
 MIN_WORDS = 50
 KEPT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -69,7 +67,7 @@ def line_keys(text: str | None, host: str | None) -> dict[int, int]:
     out: dict[int, int] = {}
     for line in (text or "").encode().lower().split(b"\n"):
         words = line.split()
-        if len(words) >= LINE_WORDS:
+        if words:
             key = xxhash.xxh64_intdigest(b" ".join(words), seed)
             out[key] = out.get(key, 0) + len(words)
     return out
@@ -80,10 +78,9 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     figures = np.array([base(t) for t in texts], np.int64).reshape(-1, len(BASE))
     lines = [line_keys(t, h) for t, h in zip(texts, hosts)]
     signed = [np.fromiter(x.keys(), np.uint64, len(x)).view(np.int64) for x in lines]
-    own = [xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63) for t in texts]
-    columns = [batch.column(0), pa.array(own, pa.int64()), *(pa.array(figures[:, i]) for i in range(len(BASE)))]
+    columns = [batch.column(0), *(pa.array(figures[:, i]) for i in range(len(BASE)))]
     columns += [pa.array(signed, pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", *BASE, "keys", "words"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", *BASE, "keys", "words"])
 
 
 def judge(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -91,12 +88,13 @@ def judge(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     base_failed, kept, n_removed_words)`` for every row of ``docs``."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, {', '.join(f'{c} long' for c in BASE)}, keys array<long>, words array<int>"
+    schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in BASE)}, keys array<long>, words array<int>"
     measured = materialize(map_arrow(docs.select("doc_id", "text", "source"), _measure, schema).withColumn("row", F.monotonically_increasing_id()), "lines")
-    seen = measured.select("text_hash", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    # a document lists each of its lines once, so counting keys counts documents
+    seen = measured.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     common = broadcast_if_small(materialize(seen.where(F.col("n") > limit).select("key"), "common"))
     pairs = measured.select("row", F.explode(F.arrays_zip("keys", "words")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.words").alias("w"))
-    removed = materialize(pairs.join(common, "key", "left_semi").groupBy("row").agg(F.sum("w").alias("gone")), "removed")
+    removed = broadcast_if_small(materialize(pairs.join(common, "key", "left_semi").groupBy("row").agg(F.sum("w").alias("gone")), "removed"))
     out = measured.join(removed, "row", "left").withColumn("gone", F.coalesce("gone", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("gone")
@@ -120,8 +118,8 @@ l as (select row, host, t, unnest(ls) as line from w),
 u as (select row, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '{_WORD}') group by 1),
 n as (select row, host, t, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), ' ') as norm,
   len(regexp_extract_all(line, '{_WORD}')) as k from l),
-f as (select host, norm from n where k >= {LINE_WORDS} group by 1, 2 having count(distinct t) > {LIMIT}),
-x as (select n.row, sum(k) as gone from n join f on n.host = f.host and n.norm = f.norm where k >= {LINE_WORDS} group by 1),
+f as (select host, norm from n where k > 0 group by 1, 2 having count(distinct row) > {LIMIT}),
+x as (select n.row, sum(k) as gone from n join f on n.host = f.host and n.norm = f.norm where k > 0 group by 1),
 b as (select w.row, doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
   cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as bigint) as n_symbols,
   cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(coalesce(gone, 0) as bigint) as n_removed_words

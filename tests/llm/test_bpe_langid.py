@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ def plain_encoding():
     return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-TEXTS = [None, "", "   ", "Hello <|endoftext|> world\n\n  x", "a" * 3000, "é ü 漢字 \U0001f600 'll", ("word \t\n  12 é!! " * 9000) + " " * 50, "x  y  z"]
+TEXTS = [("!\x1c?\x1f. \x85a\u2003" * 20), None, "", "   ", "Hello <|endoftext|> world\n\n  x", "a" * 3000, "é ü 漢字 \U0001f600 'll", ("word \t\n  12 é!! " * 9000) + " " * 50, "x  y  z"]
 
 
 def test_pieces_keep_ids():
@@ -75,3 +76,69 @@ def test_ngrams_by_hand():
             s, k = chr(k & 0x1FFFFF) + s, k >> 21
         text[s] = n
     assert text == {"a": 2, "b": 2, " a": 2, "ab": 2, "b ": 2, " ab": 2, "ab ": 2}
+
+
+def slow_ngrams(text):
+    words = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text).split(" ")
+    out = {}
+    for w in (f" {x} " for x in words if x):
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                if w[i : i + n].strip():
+                    out[w[i : i + n]] = out.get(w[i : i + n], 0) + 1
+    return out
+
+
+def named(keys, counts):
+    out = {}
+    for k, n in zip(keys.tolist(), counts.tolist()):
+        s = ""
+        while k:
+            s, k = chr(k & 0x1FFFFF) + s, k >> 21
+        out[s] = n
+    return out
+
+
+def slow_predict(text, profiles):
+    found = slow_ngrams(text or "")
+    if not found or not profiles:
+        return "und", 0.0
+    order = lambda s: sum(ord(c) << 21 * (len(s) - 1 - i) for i, c in enumerate(s))
+    own = sorted(found, key=lambda s: (-found[s], order(s)))[: langid.PROFILE]
+    best = min((sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(own)), name) for name, p in profiles.items())
+    return best[1], 1 - best[0] / (langid.PROFILE * len(own))
+
+
+def test_chunks_change_nothing(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab éÄ,1\u4e00 ") for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 20, 60, 61, 200)] * 3
+    for t in texts:
+        want = slow_ngrams(t)
+        for chunk in (1, 2, 3, 5, 1 << 20):
+            monkeypatch.setattr(langid, "CHUNK", chunk)
+            assert named(*langid.ngrams(t)) == want, (t, chunk)
+
+
+def test_predictions_match_brute_force(spark):
+    """Profiles and every prediction are recomputed from plain strings."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    sums = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            for g, n in slow_ngrams(r.text).items():
+                sums.setdefault(r.lang, {})[g] = sums.get(r.lang, {}).get(g, 0) + n
+    key = lambda s: sum(ord(c) << 21 * (len(s) - 1 - i) for i, c in enumerate(s))
+    profiles = {k: sorted(v, key=lambda s: (-v[s], key(s)))[: langid.PROFILE] for k, v in sums.items()}
+    got = {r.doc_id: r for r in langid.op2(docs).collect()}
+    for r in rows:
+        lang, score = slow_predict(r.text, profiles)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-9
+
+
+def test_equal_languages_and_long_text(spark):
+    rows = [(1, "aaa bbb", "x"), (2, "aaa bbb", "w"), (3, "aaa bbb " * 200_000, None)]
+    docs = spark.createDataFrame([r for r in rows for _ in range(1)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.op2(docs).collect()} <= {"w", "x"}
+    profiles = {"x": langid.ranking(*langid.ngrams("aaa bbb")), "w": langid.ranking(*langid.ngrams("aaa bbb"))}
+    assert {r.lang_pred for r in langid.identify(docs, profiles).collect()} == {"w"}
