@@ -21,6 +21,9 @@ BROADCAST_ROWS = 200_000
 ARROW_ROWS = 512
 ARROW_BYTES = 8 << 20
 
+#: Bytes of an input that may be dealt out anew.
+SPREAD_BYTES = 256 << 20
+
 #: Seconds between two runs of the driver's collector.
 SWEEP_SECONDS = 5.0
 _swept = 0.0
@@ -102,6 +105,17 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input to all cores, if its files give fewer tasks
+    than that (one file of one row group is one task).  Beyond ``SPREAD_BYTES``
+    by the scan's own size nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < 2 * cores:
+        return df.repartition(2 * cores)
+    return df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch per input batch."""
 
