@@ -110,7 +110,7 @@ def spread(df: DataFrame) -> DataFrame:
     than that (one file of one row group is one task).  Beyond ``SPREAD_BYTES``
     by the scan's own size nothing is moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < 2 * cores:
         return df.repartition(2 * cores)
     return df
