@@ -41,11 +41,14 @@ def _words(text: str) -> Column:
 def _shingle_rows(df: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
     """A row ``(keys, words, size, i, h)`` for each shingle of these sizes."""
 
+    # size and start are packed in one number: a lambda over structs would keep
+    # the rows out of generated code, which copies the words of a text for each
     def starts(k: int) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.struct(F.lit(k).alias("size"), i.alias("i")))
-        return F.when(F.size("words") >= k, every).otherwise(F.array().cast("array<struct<size:int,i:int>>"))
+        first = F.lit(k << 32).cast("long")
+        return F.when(F.size("words") >= k, F.sequence(first, first + F.size("words") - k)).otherwise(F.array().cast("array<bigint>"))
 
-    rows = df.withColumn("words", _words("text")).select(*keys, "words", F.inline(F.concat(*map(starts, sizes))))
+    rows = df.withColumn("words", _words("text")).select(*keys, "words", F.explode(F.concat(*map(starts, sizes))).alias("p"))
+    rows = rows.select(*keys, "words", F.shiftright("p", 32).cast("int").alias("size"), F.col("p").bitwiseAND(0xFFFFFFFF).cast("int").alias("i"))
     at = lambda k: F.when(F.col("size") > k, F.get("words", F.col("i") + k))
     return rows.withColumn("h", F.xxhash64(*[at(k) for k in range(SHINGLE)]))
 

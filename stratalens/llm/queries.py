@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalens.llm import bpe, chat, decontaminate, langid, lines, pii, secrets, simhash, suffix, warc
-from stratalens.runtime import table
+from stratalens.runtime import spread, table
 
 
 def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: op(table(spark, sf_dir, name))
+    return lambda spark, sf_dir: op(spread(table(spark, sf_dir, name)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_decontaminate": lambda spark, sf_dir: decontaminate.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op1_decontaminate": lambda spark, sf_dir: decontaminate.op1(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")),
         "op2_language_id": _on("documents", langid.op2),
         "op3_secret_scan": _on("documents", secrets.op3),
         "op4_suffix_dedup": _on("documents", suffix.op4),
