@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a side may have at most to be broadcast; measured, never assumed.
@@ -21,6 +21,9 @@ BROADCAST_ROWS = 200_000
 ARROW_ROWS = 512
 ARROW_BYTES = 8 << 20
 
+#: Hashes of a bitmap; it has a row for each 64 of them.
+BITMAP_BITS = 23
+
 #: Bytes of an input that may be dealt out anew.
 SPREAD_BYTES = 256 << 20
 
@@ -105,6 +108,37 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df
 
 
+def _free(name: str, *tables: DataFrame) -> str:
+    """``name``, made longer until no table has such a column."""
+    while any(name.lower() in map(str.lower, t.columns) for t in tables):
+        name = f"_{name}"
+    return name
+
+
+def matching(df: DataFrame, own: Column, keys: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``own`` is one of ``keys`` (one column, null-safe), or,
+    with ``keep`` false, none of them; ``keys`` should be materialized.
+
+    Few keys are broadcast.  Of more, a bitmap of ``1 << BITMAP_BITS`` hashes is, so
+    its size does not depend on them; only rows that it lets through are shuffled.
+    """
+    name = _free("key", df, keys)
+    keys = keys.toDF(name).distinct()
+    how = "left_semi" if keep else "left_anti"
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if small:
+        return df.join(F.broadcast(keys), own.eqNullSafe(F.col(name)), how)
+    word, bits = _free("word", df), _free("bits", df)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(c), F.lit(64)).cast("int"))
+    index = lambda c: F.floor(place(c) / 64).cast("long")
+    filled = keys.select(index(F.col(name)).alias(word), bit(F.col(name)).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    marked = df.join(F.broadcast(materialize(filled, "bitmap")), index(own) == F.col(word), "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(bit(own)) != 0, F.lit(False))
+    some = marked.where(may).select(*df.columns).join(keys, own.eqNullSafe(F.col(name)), how)
+    return some if keep else marked.where(~may).select(*df.columns).unionByName(some)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input to all cores, if its files give fewer tasks
     than that (one file of one row group is one task).  Beyond ``SPREAD_BYTES``
