@@ -23,6 +23,10 @@ with repeats (fewer words: one shingle of all), XXH64 seed 42; a bit is set if i
 is set in over half of the hashes.  Null or empty text, or text without a word,
 has fingerprint zero and links like any other.  A null ``doc_id`` keeps its row.
 Rows that repeat are kept; extra columns are ignored.
+
+``deduplicate`` keeps one row of each group, that with the smallest ``doc_id`` (rows
+without one come last) and, of its texts, the smallest hash; rows that share id and
+text are one document, of which the first by its columns stays.
 """
 
 from __future__ import annotations
@@ -32,18 +36,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators.components import connected_components
-from stratalens.runtime import broadcast_if_small, map_arrow, materialize, prepare
+from stratalens.runtime import map_arrow, matching, materialize, prepare
 
 RADIUS = 3
 SHINGLE = 3
 CHUNK = 1 << 16
-#: Fingerprints whose balls are built at once, and variants aimed at in a bucket.
+#: Fingerprints whose balls are built at once, at least and at most: with more
+#: buckets, larger blocks keep a bucket's share of a block from shrinking to nothing.
 BALL_BATCH = 4096
-BUCKET_VARIANTS = 400_000
+LARGEST_BATCH = 16384
+#: Variants aimed at in a bucket, and of a fingerprint on average.
+BUCKET_VARIANTS = 1 << 20
+BALL = 560
 
 _ONE = np.uint64(1)
 _SINGLES = _ONE << np.arange(64, dtype=np.uint64)
@@ -77,15 +85,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
-    values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+    values = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed long."""
+    """``(doc_id, text_hash, fp)``: the fingerprint as a signed long."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), _fingerprints, f"doc_id {kind}, fp long")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), _fingerprints, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _bucket_of(variants: np.ndarray, buckets: int) -> np.ndarray:
@@ -113,11 +121,13 @@ def _balls(fps: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def _emit_balls(buckets: int):
+    size = min(LARGEST_BATCH, max(BALL_BATCH, buckets // 8))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             held.append(batch.column(0).to_numpy().view(np.uint64))
-            if sum(map(len, held)) >= BALL_BATCH:
+            if sum(map(len, held)) >= size:
                 yield _balls(np.concatenate(held), buckets)
                 held = []
         if held:
@@ -191,10 +201,12 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     a spanning forest of each bucket."""
     spark = distinct_fps.sparkSession
     total = distinct_fps.count()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 560 // (8 * BUCKET_VARIANTS)))
-    buckets = max(8 * partitions, -(-total * 560 // BUCKET_VARIANTS))
+    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * BALL // BUCKET_VARIANTS))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * BALL // (4 * BUCKET_VARIANTS)))
     return (
+        # dealt out first: a ball is hundreds of times its fingerprint
         distinct_fps.select("fp")
+        .repartition(partitions)
         .mapInArrow(_emit_balls(buckets), "bucket int, variants binary, codes binary")
         .repartition(partitions, "bucket")
         .sortWithinPartitions("bucket")
@@ -203,30 +215,40 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     )
 
 
+def _rank() -> Column:
+    """What orders the documents of a group; rows without an id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, fp, first)`` for every row of ``docs``; ``first`` is
+    the first document of the row's component."""
+    marks = materialize(fingerprints(docs), "fps")
+    distinct = materialize(marks.groupBy("fp").agg(F.min(_rank()).alias("first_doc")), "groups")
+    labels = materialize(connected_components(links(distinct)), "labels").withColumnRenamed("node", "fp")
+    rooted = materialize(distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp")).select("fp", "first_doc", "root"), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("first_doc").alias("first")), "least")
+    final = materialize(rooted.join(least, "root").select("fp", "first"), "final")
+    return marks.join(final, "fp").select("doc_id", "text_hash", "fp", "first")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``."""
-    marks = materialize(fingerprints(docs), "fps")
-    groups = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "groups")
-    labels = materialize(connected_components(links(groups)), "labels").withColumnRenamed("node", "fp")
-    rooted = materialize(groups.join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp")).select("fp", "first_doc", "root"), "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "least")
-    final = materialize(rooted.join(least, "root").select("fp", "component_id"), "final")
-    return marks.join(final, "fp").select("doc_id", "fp", "component_id")
+    return groups(docs).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest
-    ``doc_id``; of rows that share it, one.  Rows without an id stay."""
-    found = near_duplicates(docs).where("doc_id is not null")
-    state = materialize(found.groupBy(F.col("doc_id").alias("__near_id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows")), "state")
-    # the ids that go are few, so the texts seldom need a shuffle
-    out = docs.join(broadcast_if_small(state.where("not __stays").select("__near_id")), F.col("doc_id") == F.col("__near_id"), "left_anti")
-    repeated = state.where("__stays and __rows > 1").select("__near_id")
+    """One row of each group of near-duplicates, all columns."""
+    found = groups(docs).select(_rank().alias("own"), (_rank() == F.col("first")).alias("stays"))
+    state = materialize(found.groupBy("own", "stays").agg(F.count("*").alias("n")), "state")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    out = matching(docs, own, state.where("not stays").select("own"), keep=False)
+    repeated = state.where("stays and n > 1").select("own")
     if repeated.isEmpty():
         return out
-    repeated = broadcast_if_small(repeated)
-    same = F.col("doc_id") == F.col("__near_id")
-    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = matching(out, own, repeated).groupBy(own.alias("own")).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return matching(out, own, repeated, keep=False).unionByName(one)
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import Row
 
@@ -63,16 +64,22 @@ def test_links_lose_no_pair(spark):
     assert {frozenset(g) for g in found_groups.values()} == expected
 
 
-def test_near_duplicates_and_edges(spark):
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_near_duplicates_and_edges(spark, monkeypatch, bound):
+    monkeypatch.setattr("stratalens.runtime.BROADCAST_ROWS", bound)
     base = " ".join(f"word{i % 37}x{i}" for i in range(400))
-    rows = [(7, base), (3, base), (5, base + " end"), (9, None), (8, ""), (1, "solo text of its own kind"), (None, base), (3, base)]
-    docs = spark.createDataFrame([Row(doc_id=i, text=t, fp="clash", component_id="clash", _id="clash") for i, t in rows], "doc_id long, text string, fp string, component_id string, _id string")
+    long = " ".join(f"u{i % 977}" for i in range(200_000))
+    rows = [(7, base), (3, base), (5, base + " end"), (9, None), (8, ""), (1, "solo text of its own kind"), (None, base), (3, base), (1, "another text that has the same id but no near copy"), (1, "solo text of its own kind"), (None, "no id and no copy at all here"), (20, long), (21, long + " end")]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, fp=f"clash{k}", component_id="clash", _id="clash", key=1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, fp string, component_id string, _id string, key int")
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.op10(docs).collect()}
     fps = [simhash.fingerprint(t) for _, t in rows]
+    assert fps == [slow_fingerprint(t) for _, t in rows]
     roots = slow_components(fps)
     for k, (i, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if roots[j] == roots[k] and rows[j][0] is not None]
-        assert got[(i, f"{fps[k]:016x}")] == min(ids)
-    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.deduplicate(docs).collect())
-    assert kept == [(False, 1), (False, 3), (False, 8), (True, 0)]
+        assert got[(i, f"{fps[k]:016x}")] == min(ids, default=None)
+    out = simhash.deduplicate(docs)
+    kept = sorted(((r.doc_id or 0, r.text or "", r.fp) for r in out.collect()))
+    assert out.columns == docs.columns
+    assert kept == sorted([(0, rows[10][1], "clash10"), (1, rows[5][1], "clash5"), (1, rows[8][1], "clash8"), (3, base, "clash1"), (8, "", "clash4"), (20, long, "clash11")])
     assert simhash.op10(docs.limit(0)).count() == 0
