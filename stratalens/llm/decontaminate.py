@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.runtime import broadcast_if_small, materialize
+from stratalens.runtime import broadcast_if_small, matching, materialize
 
 SHINGLE = 5
 #: Share of an item's distinct shingles, in hundredths.
@@ -80,8 +80,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     probes = _shingle_rows(texts, sizes, *key).where(F.col("h") <= bound).select(*key, "h")
     candidates = materialize(probes.join(sketch, "h").select(*key, "item").distinct(), "candidates")
-    wanted = broadcast_if_small(candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct())
-    near = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi")
+    near = matching(texts, F.struct(*key), candidates.select(F.struct(*key).alias("k")))
     full = broadcast_if_small(shingles.select("h", F.col("shingle").alias("s"), "item"))
     held = _shingle_rows(near, sizes, *key).select(*key, "h", _string().alias("shingle")).join(full, "h").where("shingle = s")
     counts = held.select(*key, "item", "shingle").distinct().groupBy(*key, "item").agg(F.count("*").alias("n_shared"))
@@ -101,14 +100,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no item."""
-    bad = _leaks(docs, benchmark).select(F.struct(F.col("doc_id"), F.col("text_hash")).alias("bad")).distinct()
-    bad = broadcast_if_small(materialize(bad, "leaks"))
-    name = "leak"
-    while name in docs.columns:
-        name = f"_{name}"
+    bad = materialize(_leaks(docs, benchmark).select(F.struct("doc_id", "text_hash").alias("bad")), "leaks")
     # one computed key, so that no column of the rows can clash with it
-    own = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
-    return docs.join(bad.withColumnRenamed("bad", name), own.eqNullSafe(F.col(name)), "left_anti")
+    return matching(docs, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")), bad, keep=False)
 
 
 def op1(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.runtime import broadcast_if_small, materialize
+from stratalens.runtime import broadcast_if_small, matching, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Pattern of each kind, and one that a text with a match must meet.
@@ -252,9 +252,10 @@ def occurrences(docs: DataFrame, texts: DataFrame, flagged: DataFrame) -> DataFr
     own = texts.select("text_hash", F.explode("words").alias("term")).join(broadcast_if_small(flagged.where("not outside").select("term")), "term", "left_semi").select("text_hash")
     other = _words(docs).join(broadcast_if_small(flagged.where("outside").select("term")), "term", "left_semi").select("text_hash")
     marked = materialize(own.union(other).distinct(), "marked")
-    known = texts.select("text_hash", "text").join(broadcast_if_small(marked), "text_hash", "left_semi")
-    rest = broadcast_if_small(materialize(marked.join(broadcast_if_small(texts.select("text_hash")), "text_hash", "left_anti"), "rest"))
-    more = docs.select(_hash().alias("text_hash"), "text").join(rest, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    known = matching(texts.select("text_hash", "text"), F.col("text_hash"), marked)
+    rest = materialize(matching(marked, F.col("text_hash"), texts.select("text_hash"), keep=False), "rest")
+    more = matching(docs.select(_hash().alias("text_hash"), "text"), F.col("text_hash"), rest)
+    more = more.groupBy("text_hash").agg(F.first("text").alias("text"))
     held = materialize(known.unionByName(more), "held")
     # the outer form, as Spark would push a filter on the array's size below and
     # work the array out again there, block by block
