@@ -1,11 +1,15 @@
 """Chat formatting in budgeted windows.
 
 A conversation is cut into windows of whole turns.  Prefix sums of the turns'
-tokens choose the longest span that fits ``BUDGET`` beside the system turn, which
-every window keeps, and a limited history: up to ``HISTORY_TURNS`` turns of at
-most ``HISTORY_TOKENS`` tokens before the span, repeated.  Repeated turns are
-masked, so each assistant text is a target once.  A turn that exceeds the budget
-alone has a window of its own; nothing is cut.
+tokens, marks and escapes included, choose the longest span that fits ``BUDGET``
+beside the system turn, which every window keeps, and a limited history: up to
+``HISTORY_TURNS`` turns of at most ``HISTORY_TOKENS`` tokens before the span,
+repeated.  Repeated turns are masked, so each assistant text is a target once.  A
+turn that exceeds the budget alone has a window of its own; nothing is cut.
+
+Turns are measured where they are, then sorted by conversation and turn; windows
+are closed as the turns go by, so a task holds one window, however long the
+conversation.
 
 A turn is written ``<|role|>text</s>``.  Control strings inside roles and texts are
 escaped by a backslash after their first character, and backslashes are doubled,
@@ -21,8 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +44,7 @@ OPEN, MID, CLOSE = "<|", "|>", "</s>"
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _TURN = re.compile(r"<\|(.*?)\|>(.*?)</s>", re.S)
 _BACK = re.compile(r"\\(.)", re.S)
-WINDOWS = "windows array<struct<formatted:string,n_repeated:int,loss:array<struct<start:int,end:int>>>>"
+WINDOWS = "window long, n_new long, n_repeated long, formatted string, loss array<struct<start:int,end:int>>"
 #: The conversation that the query adds; it consists of control strings.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -55,94 +60,142 @@ def unescape(text: str) -> str:
     return _BACK.sub(r"\1", text)
 
 
-def windows(sizes: list[int], system: bool, budget: int = BUDGET) -> list[tuple[int, int, int]]:
-    """Spans ``(history, start, end)``: turns ``start..end`` are new, those from
-    ``history`` to ``start`` are repeated; the system turn is not counted."""
-    head = int(system)
-    total = [0]
-    for s in sizes:
-        total.append(total[-1] + s)
-    room = budget - (total[1] if system else 0)
-    out, start = [], head
-    while start < len(sizes):
-        past = start
-        while past > head and start - past < HISTORY_TURNS and total[start] - total[past - 1] <= HISTORY_TOKENS:
-            past -= 1
-        while past < start and total[start + 1] - total[past] > room:
-            past += 1
-        end = max(start + 1, bisect_right(total, total[past] + room) - 1)
-        out.append((past, start, end))
-        start = end
-    return out or [(head, head, head)]
-
-
-def format_turns(turns: list[tuple[str, str]], count: Callable[[str], int], budget: int = BUDGET) -> list[dict]:
-    """Windows with their text, the turns repeated at their head, and the spans
-    of code points under the loss mask."""
-    system = turns[0][0] == "system"
-    sizes = [count(t) for _, t in turns]
-    out = []
-    for i, (past, start, end) in enumerate(windows(sizes, system, budget)):
-        shown = [0] * system + list(range(past, end))
-        text, loss, at = [], [], 0
-        for k in shown:
-            role, said = turns[k]
-            before, body = OPEN + escape(role) + MID, escape(said)
-            at += len(before)
-            if role == "assistant" and k >= start:
-                loss.append({"start": at, "end": at + len(body)})
-            at += len(body) + len(CLOSE)
-            text += [before, body, CLOSE]
-        out.append({"formatted": "".join(text), "n_repeated": (system if i else 0) + start - past, "loss": loss})
-    return out
-
-
-def read_back(found: list[dict]) -> tuple[list[tuple[str, str]], str, int]:
-    """Turns, text under the loss mask, and characters of formatted windows."""
-    turns, target = [], []
-    for w in found:
-        seen = [(unescape(r), unescape(t)) for r, t in _TURN.findall(w["formatted"])]
-        turns += seen[w["n_repeated"] :]
-        target += [unescape(w["formatted"][s["start"] : s["end"]]) for s in w["loss"]]
-    return turns, "".join(target), sum(len(w["formatted"]) for w in found)
+Turn = tuple[str, str, int]
+
+
+def mark(role: str, text: str) -> tuple[str, str]:
+    """What a turn's window holds before ``CLOSE``: its head and its body."""
+    return OPEN + escape(role) + MID, escape(text)
+
+
+@dataclass
+class Window:
+    """Turns ``(role, text, tokens)`` of a window; only ``new`` ones are targets."""
+
+    system: list[Turn]
+    history: list[Turn]
+    new: list[Turn] = field(default_factory=list)
+
+
+def windows(turns: Iterable[Turn], budget: int = BUDGET) -> Iterator[Window]:
+    """Windows of one conversation, each as soon as it is full."""
+    system: list[Turn] = []
+    last: list[Turn] = []
+    now, total, start, first = None, 0, 0, True
+    for turn in turns:
+        if first and turn[0] == "system":
+            system, first = [turn], False
+            continue
+        first = False
+        room = budget - sum(t[2] for t in system)
+        if now is None or total + turn[2] - start > room:
+            if now is not None:
+                yield now
+            past = last[-HISTORY_TURNS:]
+            while past and (sum(t[2] for t in past) > HISTORY_TOKENS or sum(t[2] for t in past) + turn[2] > room):
+                past = past[1:]
+            # ``start`` is the prefix sum at which the window's history begins
+            now, start = Window(system, past), total - sum(t[2] for t in past)
+        now.new.append(turn)
+        total += turn[2]
+        last = [*last, turn][-HISTORY_TURNS:]
+    if now is not None or system:
+        yield now or Window(system, [])
+
+
+def format_window(w: Window) -> tuple[str, list[dict]]:
+    """Text of a window, and the spans of code points under the loss mask."""
+    text, loss, at = [], [], 0
+    fresh = len(w.system) + len(w.history)
+    for k, (role, said, _) in enumerate([*w.system, *w.history, *w.new]):
+        before, body = mark(role, said)
+        at += len(before)
+        if role == "assistant" and k >= fresh:
+            loss.append({"start": at, "end": at + len(body)})
+        at += len(body) + len(CLOSE)
+        text += [before, body, CLOSE]
+    return "".join(text), loss
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[tuple]]]:
+    """Rows of each run of equal first values, as they come."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    return groupby(rows, lambda row: row[0])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 64) -> Iterable[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
 
 def format_conversations(rows: DataFrame, budget: int = BUDGET, ranks: str | None = None) -> DataFrame:
-    """``(conv_id, windows)`` of ``rows(conv_id, turn, role, text)``."""
+    """``(conv_id, window, n_new, n_repeated, formatted, loss)`` of
+    ``rows(conv_id, turn, role, text)``; the windows of a conversation are in one
+    partition, together and in order."""
     spark = prepare(rows.sparkSession)
     raw = spark.sparkContext.broadcast(bpe.rank_file(ranks))
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    told = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoding = bpe.load(raw.value)
-        count = lambda t: bpe.encode(encoding, t).size
-        out = [format_turns([(t["role"], t["text"]) for t in turns], count, budget) for turns in batch.column(1).to_pylist()]
+        sizes = [bpe.encode(encoding, "".join(mark(r, t)) + CLOSE).size for r, t in zip(*(batch.column(i).to_pylist() for i in (2, 3)))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=[*batch.schema.names, "size"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in told.schema}
+    sized = map_arrow(told, measure, ", ".join(f"{c} {kinds[c]}" for c in told.columns) + ", size long")
+    ordered = sized.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
         loss = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        kind = pa.list_(pa.struct([("formatted", pa.string()), ("n_repeated", pa.int32()), ("loss", loss)]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["conv_id", "windows"])
+        own = [("conv_id", first.schema.field(0).type), ("window", pa.int64()), ("n_new", pa.int64()), ("n_repeated", pa.int64()), ("formatted", pa.string()), ("loss", loss)]
+
+        def rows() -> Iterator[tuple]:
+            for conv, turns in _runs(chain([first], batches)):
+                for i, w in enumerate(windows((t[1:] for t in turns), budget)):
+                    new = len(w.new) + (len(w.system) if i == 0 else 0)
+                    yield (conv, i, new, len(w.system) + len(w.history) + len(w.new) - new, *format_window(w))
+
+        yield from _batches(rows(), pa.schema(own))
 
-    return map_arrow(grouped, run, f"conv_id {kind}, {WINDOWS}")
+    return ordered.mapInArrow(run, f"conv_id {kinds['conv_id']}, {WINDOWS}")
 
 
 def summarize(formatted: DataFrame) -> DataFrame:
-    """What each conversation's windows say, read back from them."""
+    """What each conversation's windows say, read back from them.  The windows of
+    a conversation must lie together and in order, as they are made; digests are
+    taken as they go by."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in names[1:]]
-        for found in batch.column(1).to_pylist():
-            turns, target, chars = read_back(found)
-            told = "".join(f"{r}\n{t}\n" for r, t in turns)
-            row = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(target), hashlib.sha256(target.encode()).hexdigest(), chars, len(found))
-            for c, v in zip(cols, row):
-                c.append(v)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
-
-    return map_arrow(formatted, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    rows_in = formatted.select("conv_id", "n_repeated", "formatted", "loss")
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+
+        def rows() -> Iterator[tuple]:
+            for conv, found in _runs(chain([first], batches)):
+                told, target = hashlib.sha256(), hashlib.sha256()
+                turns = goal = chars = count = 0
+                for _, repeated, text, loss in found:
+                    for role, said in _TURN.findall(text)[repeated:]:
+                        told.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
+                        turns += 1
+                    for span in loss:
+                        said = unescape(text[span["start"] : span["end"]])
+                        target.update(said.encode())
+                        goal += len(said)
+                    chars += len(text)
+                    count += 1
+                yield conv, turns, told.hexdigest(), goal, target.hexdigest(), chars, count
+
+        yield from _batches(rows(), pa.schema([("conv_id", first.schema.field(0).type), *zip(names, kinds)]))
+
+    return rows_in.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 def op7(conversations: DataFrame) -> DataFrame:

@@ -73,35 +73,50 @@ def write(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Archive:
 
 
 def verified(archive: Archive) -> DataFrame:
-    """``payloads`` with size and digest taken from the stored bytes; a payload
-    that does not match the digest it is stored under raises an error."""
-    own = F.sha2("payload", 256)
-    checked = F.when(own == F.col("digest"), own).otherwise(F.raise_error(F.concat(F.lit("payload does not match "), F.col("digest"))).cast("string"))
-    return archive.payloads.select("digest", checked.alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
+    """``payloads`` after a check: a payload that does not match the digest it is
+    stored under raises an error."""
+    right = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload"))
+    wrong = F.raise_error(F.concat(F.lit("payload does not match "), F.col("digest"))).cast("binary")
+    return archive.payloads.select("digest", F.coalesce(right, wrong).alias("payload"))
 
 
 def _field(name: str) -> Column:
-    found = F.regexp_extract(F.col("header"), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    found = F.regexp_extract(F.col("head"), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
     return F.when(found != "", found)
 
 
+def records(archive: Archive) -> DataFrame:
+    """``(record, stored)``: each record's exact bytes, rebuilt by a join, and the
+    payload that its digest stands for, which a revisit does not hold itself."""
+    body = F.when(F.col("http_header").isNotNull(), F.concat(F.encode("http_header", "UTF-8"), F.col("payload"))).otherwise(F.lit(b""))
+    joined = archive.headers.join(verified(archive), "digest")
+    return joined.select(F.concat(F.encode("header", "UTF-8"), body, F.lit((CRLF * 2).encode())).alias("record"), F.col("payload").alias("stored"))
+
+
 def read(archive: Archive) -> DataFrame:
-    """One row a record, parsed from the archive: ``page_id``, ``url``,
-    ``record_type``, ``refers_to``, ``payload_digest``, ``payload_bytes``,
-    ``payload`` (revisits resolved) and ``record``, the record's exact bytes."""
+    """One row a record, every value parsed from the record's bytes: ``page_id``,
+    ``url``, ``record_type``, ``refers_to``, ``payload_digest``, ``payload_bytes``,
+    ``payload`` (revisits resolved) and ``record``.  A payload that does not match
+    the record's digest raises an error."""
     number = lambda name: F.regexp_extract(F.coalesce(_field(name), F.lit("")), rf"<{URN}(-?[0-9]+)>", 1)
     whole = lambda name: F.when(number(name) != "", number(name)).cast("long")
-    body = F.when(F.col("http_header").isNotNull(), F.concat(F.encode("http_header", "UTF-8"), F.col("payload"))).otherwise(F.lit(b""))
-    parsed = archive.headers.join(verified(archive), "digest")
-    return parsed.select(
+    end = F.lit(CRLF * 2)
+    told = records(archive).withColumn("head", F.concat(F.substring_index(F.col("record").cast("string"), CRLF * 2, 1), F.lit(CRLF)))
+    told = told.withColumn("body", F.substring("record", F.octet_length("head") + 3, _field("Content-Length").cast("int")))
+    # the HTTP header is ASCII, so its end has one place in characters and bytes
+    own = F.substring(F.col("body"), F.locate(CRLF * 2, F.col("body").cast("string")) + F.length(end), F.octet_length("body"))
+    told = told.withColumn("payload", F.when(_field("WARC-Type") == "response", own).otherwise(F.col("stored")))
+    digest, named = F.sha2("payload", 256), _field("WARC-Payload-Digest")
+    checked = F.when(F.concat(F.lit("sha256:"), digest) == named, digest).otherwise(F.raise_error(F.concat(F.lit("payload does not match "), named)).cast("string"))
+    return told.select(
         whole("WARC-Record-ID").alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
         _field("WARC-Type").alias("record_type"),
         whole("WARC-Refers-To").alias("refers_to"),
-        "payload_digest",
-        "payload_bytes",
+        checked.alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
         "payload",
-        F.concat(F.encode("header", "UTF-8"), body, F.lit((CRLF * 2).encode())).alias("record"),
+        "record",
     )
 
 
