@@ -2,7 +2,12 @@
 
 Each stage takes what its predecessor kept, decides, and hands on the columns of
 ``documents``; the last returns token ids.  Rows with null or empty texts have no
-language and leave at the first stage.
+language and leave at the first stage.  Texts are worked on whole, however long.
+
+Rows are told apart by ``doc_id`` and text: of rows that repeat both one stays at the
+second stage, a null ``doc_id`` is an id like another, and rows that share an id but no
+text are judged each by its text.  An empty table gives an empty table, and columns
+besides those of ``documents`` go along, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalens.llm import bpe, decontaminate, langid, secrets, simhash
-from stratalens.runtime import materialize, table
+from stratalens.runtime import materialize, spread, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
