@@ -25,7 +25,7 @@ ARROW_BYTES = 8 << 20
 BITMAP_BITS = 23
 
 #: Bytes of an input that may be dealt out anew.
-SPREAD_BYTES = 256 << 20
+SPREAD_BYTES = 32 << 20
 
 #: Seconds between two runs of the driver's collector.
 SWEEP_SECONDS = 5.0
