@@ -201,12 +201,14 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     a spanning forest of each bucket."""
     spark = distinct_fps.sparkSession
     total = distinct_fps.count()
-    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * BALL // BUCKET_VARIANTS))
+    # a task emits a row for each bucket, so tasks get whole blocks of fingerprints
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * BALL // (4 * BUCKET_VARIANTS)))
+    buckets = max(partitions, -(-total * BALL // BUCKET_VARIANTS))
+    emitters = max(1, -(-total // BALL_BATCH))
     return (
         # dealt out first: a ball is hundreds of times its fingerprint
         distinct_fps.select("fp")
-        .repartition(partitions)
+        .repartition(emitters)
         .mapInArrow(_emit_balls(buckets), "bucket int, variants binary, codes binary")
         .repartition(partitions, "bucket")
         .sortWithinPartitions("bucket")
