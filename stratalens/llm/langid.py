@@ -8,7 +8,8 @@ profile wins; ties go to the first language by name.
 
 Profiles are learned from rows whose ``crc32(doc_id as text) mod 5`` is not 0 and
 whose ``lang`` and ``text`` are not null: ``FIT_DOCS`` documents of each language in
-expectation, chosen by a hash of the id (all of them if there are fewer).
+expectation, chosen by a hash of the id (all of them if there are fewer), for at
+most ``LANGUAGES`` languages.
 
 Null texts, and texts without a letter, are ``und`` with score 0; so is everything
 if nothing can be learned.  A null ``doc_id`` is never learned from and not held
@@ -28,6 +29,8 @@ from stratalens.runtime import map_arrow, prepare
 
 #: Documents of each language that profiles are learned from, in expectation.
 FIT_DOCS = 1500
+#: Languages that profiles are learned for, those with the most documents.
+LANGUAGES = 2000
 #: Length of a profile.
 PROFILE = 300
 UNKNOWN = "und"
@@ -94,7 +97,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, np.ndarray]:
     brought to the driver."""
     spark = prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("text").alias("n")).collect() if r["n"]}
+    counts = known.groupBy("lang").agg(F.count("text").alias("n")).where("n > 0")
+    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return {}
     share = spark.createDataFrame([(k, min(1.0, fit_docs / n)) for k, n in sizes.items()], "lang string, share double")

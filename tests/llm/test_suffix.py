@@ -79,5 +79,28 @@ def test_query_matches_brute_force(spark, monkeypatch, hot):
     assert sorted((tuple(r) for r in suffix.op4(df).collect()), key=key) == sorted(slow(rows), key=key)
 
 
+@pytest.mark.parametrize("part, shard, hot", [(300, 1 << 19, 1000), (1 << 22, 500, 3), (1 << 22, 1 << 19, 24)])
+def test_bounds_change_nothing(spark, monkeypatch, part, shard, hot):
+    """Parts of long texts, sizes of shards, and which of the ways settles a gram."""
+    monkeypatch.setattr(suffix, "PART", part)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted((tuple(r) for r in suffix.op4(df).collect()), key=key) == sorted(slow(rows), key=key)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    passage = say(rng, 260, "abcdefgh")
+    head = "".join(rng.choice("abcdefghij") for _ in range(suffix.PART - 100))
+    rows = [(1, head + passage + "".join(rng.choice("klmnop") for _ in range(300_000)) + passage), (2, passage)]
+    got = {r.doc_id: r for r in suffix.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed) == (520, 2, 260)
+    kept = rows[0][1].replace(passage, "").encode()
+    assert got[1].kept_sha256 == hashlib.sha256(kept).hexdigest() and got[1].n_bytes == len(rows[0][1])
+
+
 def test_empty(spark):
     assert suffix.op4(spark.createDataFrame([], "doc_id long, text string")).count() == 0
