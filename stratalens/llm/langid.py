@@ -35,7 +35,7 @@ LANGUAGES = 2000
 PROFILE = 300
 UNKNOWN = "und"
 #: Characters of a text that are counted at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _TABLE: list[np.ndarray] = []
 
 

@@ -47,10 +47,10 @@ SHINGLE = 3
 CHUNK = 1 << 16
 #: Fingerprints whose balls are built at once, at least and at most: with more
 #: buckets, larger blocks keep a bucket's share of a block from shrinking to nothing.
-BALL_BATCH = 4096
-LARGEST_BATCH = 16384
+BALL_BATCH = 2048
+LARGEST_BATCH = 8192
 #: Variants aimed at in a bucket, and of a fingerprint on average.
-BUCKET_VARIANTS = 1 << 20
+BUCKET_VARIANTS = 1 << 19
 BALL = 560
 
 _ONE = np.uint64(1)
@@ -100,7 +100,10 @@ def _bucket_of(variants: np.ndarray, buckets: int) -> np.ndarray:
     mixed = variants * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    mixed >>= np.uint64(32)
+    mixed *= np.uint64(buckets)
+    mixed >>= np.uint64(32)
+    return mixed.astype(np.int32)
 
 
 def _balls(fps: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -110,7 +113,8 @@ def _balls(fps: np.ndarray, buckets: int) -> pa.RecordBatch:
     for own, masks, codes in ((fps[~odd], _EVEN, _CODES_EVEN), (fps[odd], _ODD, _CODES_ODD)):
         parts.append(((own[:, None] ^ masks[None, :]).ravel(), np.tile(codes, own.size)))
     variants, codes = (np.concatenate(x) for x in zip(*parts))
-    bucket = _bucket_of(variants, buckets).astype(np.int32)
+    del parts
+    bucket = _bucket_of(variants, buckets)
     order = np.argsort(bucket, kind="stable")
     variants, codes, bucket = variants[order], codes[order], bucket[order]
     ids, first = np.unique(bucket, return_index=True)

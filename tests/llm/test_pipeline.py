@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 
@@ -59,8 +60,10 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
 def test_stages_take_odd_rows(spark):
     """Nulls, repeated rows, clashing columns and very long texts, stage by stage."""
     item = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()[0].text
-    say = lambda k, n=60: " ".join(f"the and of word{(k * 7919 + i * i) % 5003}" for i in range(n))
-    rows = [(1, say(1)), (1, say(1)), (1, say(2)), (None, say(3)), (None, say(3)), (None, None), (2, ""), (3, None), (4, say(4) + " " + item), (None, item + " " + say(5)), (5, say(6, 60_000)), (6, f'{say(7)} token = "0123456789abcdef0123" {say(8)}')]
+    rng = random.Random(4)
+    say = lambda _, n=200: " ".join("".join(rng.choice("thesandoirlemn") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    one, two = say(1), say(3)
+    rows = [(1, one), (1, one), (1, say(2)), (None, two), (None, two), (None, None), (2, ""), (3, None), (4, say(4) + " " + item), (None, item + " " + say(5)), (5, say(6, 60_000)), (6, f'{say(7)} token = "0123456789abcdef0123" {say(8)}')]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "x", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __near_id string, __leak_id string, key int, text_hash string")
     left = [set(rows[:5]) | set(rows[8:])]
     left += [left[0], left[0] - {rows[8], rows[9]}, left[0] - {rows[8], rows[9]}]
