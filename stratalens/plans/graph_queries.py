@@ -40,11 +40,11 @@ def imported_files(spark, sf_dir):
     return graph.imported_files(d.part_edges(spark, sf_dir))
 
 
-@query("orphan_files", f"with {d.EDGES} select cast(p_partkey as varchar) as file from part where cast(p_partkey as varchar) not in (select target from edges)")
+@query("orphan_files", f"with {d.RECENT} select cast(s_suppkey as varchar) as file from supplier where cast(s_suppkey as varchar) not in (select target from recent)")
 def orphan_files(spark, sf_dir):
     """G6."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"))
-    return graph.orphans(parts, d.part_edges(spark, sf_dir))
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"))
+    return graph.orphans(known, d.recent_edges(spark, sf_dir))
 
 
 _HREFS = r"""hrefs as (
@@ -110,16 +110,36 @@ def cycle_witness(spark, sf_dir):
     return graph.witnesses(edges, members).select("component", F.array_join("cycle", " -> ").alias("cycle"))
 
 
-@query("scc_parts")
+@query(
+    "cycle_witness_distributed",
+    f"""with recursive {d.RINGS}, {_SCC},
+  walk as (select component, [component, e.target] as cycle, 1 as n from scc join edges e on e.source = component where node = component and n_nodes > 1
+    union all select w.component, list_append(cycle, e.target), n + 1 from walk w join edges e on e.source = cycle[-1] where cycle[-1] <> w.component and n < 6)
+  select component, array_to_string(min(cycle), ' -> ') as cycle from walk where cycle[-1] = component group by 1""",
+)
+def cycle_witness_distributed(spark, sf_dir):
+    """G3 without the search on the driver."""
+    edges = d.ring_edges(spark, sf_dir)
+    members = graph.cyclic_nodes(edges, graph.distributed_scc(edges))
+    return graph.distributed_witnesses(graph._within(edges, members.where("n_nodes > 1"))).select("component", F.array_join("cycle", " -> ").alias("cycle"))
+
+
+@query("scc_parts", f"with recursive {d.EDGES}, {_SCC} select node, component, n_nodes from scc")
 def scc_parts(spark, sf_dir):
-    """G1 on the sparse graph, too large for a closure in SQL."""
-    return graph.scc(d.part_edges(spark, sf_dir))
+    """G1 on the graph of parts."""
+    return graph.distributed_scc(d.part_edges(spark, sf_dir))
 
 
-@query("scc_customers")
+@query("scc_customers", f"with recursive {d.MIXED}, {_SCC} select node, component, n_nodes from scc")
 def scc_customers(spark, sf_dir):
     """G1 on the graph of customers."""
-    return graph.scc(d.mixed_edges(spark, sf_dir))
+    return graph.distributed_scc(d.mixed_edges(spark, sf_dir))
+
+
+@query("scc_rings_distributed", f"with recursive {d.RINGS}, {_SCC} select node, component, n_nodes from scc")
+def scc_rings_distributed(spark, sf_dir):
+    """G1 without the search on the driver."""
+    return graph.distributed_scc(d.ring_edges(spark, sf_dir))
 
 
 @query("mixed_edges", f"with {d.MIXED} select source, target from edges")
@@ -129,30 +149,36 @@ def mixed_edges(spark, sf_dir):
 
 @query(
     "affected_files",
-    f"""with recursive {d.RINGS}, seeds as (select cast(s_suppkey as varchar) as node from supplier where s_suppkey % 9 = 0),
-  both_ways as (select source as a, target as b from edges union select target, source from edges),
+    f"""with recursive {d.RINGS}, {d.RECENT}, seeds as (select cast(s_suppkey as varchar) as node from supplier where s_acctbal < 0),
+  every as (select source, target from edges union select source, target from recent),
+  both_ways as (select source as a, target as b from every union select target, source from every),
   hit as (select node from seeds union select b from hit join both_ways on a = node) select node from hit""",
 )
 def affected_files(spark, sf_dir):
     """G5."""
-    edges = d.ring_edges(spark, sf_dir)
-    seeds = table(spark, sf_dir, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").cast("string").alias("node"))
-    return graph.affected(edges, edges.limit(0), seeds)
+    seeds = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("node"))
+    return graph.affected(d.ring_edges(spark, sf_dir), d.recent_edges(spark, sf_dir), seeds)
 
 
 @query(
     "reachable_files",
-    f"""with recursive {d.RINGS}, hit as (select cast(s_suppkey as varchar) as node from supplier where s_suppkey % 5 = 0 union select target from hit join edges on source = node) select node from hit""",
+    f"""with recursive {d.RINGS}, hit as (select cast(s_suppkey as varchar) as node from supplier where s_acctbal < 0 union select target from hit join edges on source = node) select node from hit""",
 )
 def reachable_files(spark, sf_dir):
     """Directed reachability by a frontier loop."""
-    seeds = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").cast("string").alias("node"))
+    seeds = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("node"))
     return graph.reach(d.ring_edges(spark, sf_dir), seeds)
 
 
-@query("components_parts")
+@query(
+    "components_parts",
+    f"""with recursive {d.EDGES}, both_ways as (select source as a, target as b from edges union select target, source from edges),
+  cc(node, component) using key (node) as (select distinct a, a from both_ways
+    union select b, min(cc.component) from cc join both_ways on cc.node = a join recurring.cc r on r.node = b where cc.component < r.component group by b)
+  select node, component from cc""",
+)
 def components_parts(spark, sf_dir):
-    """Undirected components of the sparse graph."""
+    """Undirected components of the graph of parts."""
     return connected_components(d.part_edges(spark, sf_dir), "source", "target")
 
 
@@ -179,7 +205,18 @@ def first_package_edge(spark, sf_dir):
     return graph.first_edge_into(rows, ["source", "to_package"], ["target"]).select("source", "to_package", "target")
 
 
-@query("package_cycles")
+@query(
+    "package_cycles",
+    f"""with recursive {d.EDGES}, {d.PACKAGES}, e as (select distinct a.package as s, b.package as t
+    from edges join packages a on a.path = source join packages b on b.path = target where a.package <> b.package),
+  up(node, label) using key (node) as (select distinct s, s from e
+    union select t, min(up.label) from up join e on up.node = s join recurring.up r on r.node = t where up.label < r.label group by t),
+  inner_e as (select s, t, a.label as c from e join up a on a.node = s join up b on b.node = t where a.label = b.label),
+  walk(c, node, n, cycle) using key (c, node) as (select c, t, 1, min([s, t]) from inner_e where s = c group by 1, 2
+    union select i.c, i.t, w.n + 1, min(list_append(w.cycle, i.t)) from walk w join inner_e i on i.c = w.c and i.s = w.node and w.node <> w.c
+      left join recurring.walk r on r.c = i.c and r.node = i.t where r.node is null group by 1, 2, 3)
+  select c as component, array_to_string(cycle, ' -> ') as cycle from walk where node = c""",
+)
 def package_cycles(spark, sf_dir):
     """One witness for each cycle of packages."""
     edges = package_edges(spark, sf_dir).withColumnsRenamed({"from_package": "source", "to_package": "target"})

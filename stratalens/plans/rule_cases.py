@@ -1,7 +1,10 @@
-"""A small tree for each rule, with the places where it must report.
+"""A source tree grown from the ``supplier`` table for each rule.
 
-Expectations were derived by hand from the rules' definitions.  Each case is a
-query of the catalogue, checked against its rows as SQL values.
+A case is a small tree with the places where its rule must report, derived by hand
+from the rule's definition.  Every supplier owns a copy of it in a folder of its own,
+``s<key>/``, planted with the violations if its balance is not negative; the others
+own three empty files, so that what is found depends on the table.  Expected rows are
+computed in SQL from the same planting.
 """
 
 from __future__ import annotations
@@ -9,9 +12,11 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stratalens.plans import rules
 from stratalens.registry import query
+from stratalens.runtime import materialize, table
 
 #: rule -> files, places (file, line, column), options, other settings.
 CASES: dict[str, tuple[dict[str, str], list[tuple[str, int | None, int | None]], dict[str, Any], dict[str, Any]]] = {}
@@ -27,18 +32,18 @@ case("no-test-import", {"a.ts": "import { h } from './b.test';\n", "b.test.ts":
 case("no-barrel-chain", {"index.ts": "export * from './x';\nimport './x';\n", "x/index.ts": "export { a } from './a';\n", "x/a.ts": "export const a = 1;\n"}, [("index.ts", 1, 1)])
 case("no-circular-import", {"a.ts": "import './b';\nimport './b';\n", "b.ts": "import './a';\nimport './c';\n", "c.ts": "import './b';\n", "d.ts": "\nimport './d';\n", "e.ts": "import './a';\n"}, [("a.ts", 1, 1), ("d.ts", 2, 1)])
 case("no-orphan-files", {"main.ts": "import './a';\n", "a.ts": "import './a';\n", "b.ts": "import './a';\n", "c.test.ts": "", "index.ts": ""}, [("b.ts", 1, 1), ("index.ts", 1, 1)])
-PACKAGES = {"packages": [("app", "packages/app"), ("@s/ui", "packages/ui")], "entries": [("app", "", "packages/app/index.ts"), ("@s/ui", "", "packages/ui/index.ts")]}
+PACKAGES = {"packages": [("@s/app", "packages/app"), ("@s/ui", "packages/ui")], "entries": [("@s/app", "", "packages/app/index.ts"), ("@s/ui", "", "packages/ui/index.ts")]}
 case("no-private-package-import", {"packages/app/index.ts": "import { a } from '@s/ui';\nimport { b } from '@s/ui/secret';\nimport { c } from './local';\n", "packages/app/local.ts": "", "packages/ui/index.ts": "", "packages/ui/secret.ts": ""}, [("packages/app/index.ts", 2, 1)], **PACKAGES)
-case("no-package-cycle", {"packages/app/index.ts": "\nimport { a } from '@s/ui';\nimport { b } from '@s/ui';\n", "packages/ui/index.ts": "import { x } from 'app';\n"}, [("packages/app/index.ts", 2, 1), ("packages/ui/index.ts", 1, 1)], **PACKAGES)
+case("no-package-cycle", {"packages/app/index.ts": "\nimport { a } from '@s/ui';\nimport { b } from '@s/ui';\n", "packages/ui/index.ts": "import { x } from '@s/app';\n"}, [("packages/app/index.ts", 2, 1), ("packages/ui/index.ts", 1, 1)], **PACKAGES)
 case("no-empty-directories", {"a/index.ts": "// nothing\n/* here */\n", "b/index.ts": "export {};\n", "c/index.ts": "", "c/x.ts": ""}, [("a", None, None)])
 case("directory-must-have-barrel", {"index.ts": "", "a/x.ts": "", "a/b/y.ts": "", "c/index.tsx": "", "c/d/z.ts": ""}, [("a", None, None)])
 case("max-items-per-directory", {f"a/f{i}.ts": "" for i in range(4)} | {"b/x.ts": "", "b/y.ts": "", "b/z.ts": ""}, [("a", None, None)], {"max-items": 3})
 case("min-items-per-directory", {"a/x.ts": "", "b/x.ts": "", "b/y.ts": "", "b/z.ts": ""}, [("a", None, None)])
-case("max-directory-depth", {"a/b/c/x.ts": "", "a/y.ts": ""}, [("a/b/c", None, None), ("a/b/c/x.ts", None, None)], {"max-depth": 2})
+case("max-directory-depth", {"a/b/c/x.ts": "", "a/y.ts": ""}, [("a/b/c", None, None), ("a/b/c/x.ts", None, None)], {"max-depth": 3})
 case("no-empty-domain", {"a/index.ts": "export const a = 1;\n", "b/index.ts": "", "b/x.ts": ""}, [("a", None, None)])
 case("no-anemic-domain", {"a/x.ts": "", "b/x.ts": "", "b/y.ts": "", "node_modules/p/x.ts": ""}, [("a", None, None)])
 case("no-god-domain", {f"a/f{i}.ts": "" for i in range(4)} | {"b/x.ts": ""}, [("a", None, None)], {"max-files": 3})
-case("no-duplicate-file-names", {"a/x.ts": "", "b/x.ts": "", "c/x.ts": "", "a/index.ts": "", "b/index.ts": ""}, [("a/x.ts", None, None), ("a/x.ts", None, None), ("b/x.ts", None, None)])
+case("no-duplicate-file-names", {"a/x@k.ts": "", "b/x@k.ts": "", "c/x@k.ts": "", "a/index.ts": "", "b/index.ts": ""}, [("a/x@k.ts", None, None), ("a/x@k.ts", None, None), ("b/x@k.ts", None, None)])
 case("no-dump-files", {"src/Utils.ts": "", "src/helpers.tsx": "", "src/my-utils.ts": "", "src/misc.ts": ""}, [("src/Utils.ts", 1, 1), ("src/helpers.tsx", 1, 1), ("src/misc.ts", 1, 1)], {"extra-names": ["misc"]})
 case("no-large-file", {"a.ts": "a\nb\nc\n", "b.ts": "a\nb\nc\né", "c.ts": "a\nb\n"}, [("b.ts", 4, 3)], {"max-lines": 3})
 case("no-side-effect-imports", {"a.ts": "import './x.css';\nimport {} from './y';\nimport z from './z';\n"}, [("a.ts", 1, 1)])
@@ -74,7 +79,7 @@ case("no-unsafe-optional-chaining", {"a.ts": "[1]?.length;\nthis?.a;\na?.b?.c;\n
 case("prefer-satisfies", {"a.ts": "const a = { b: 1 } as Foo;\nconst c = [1] as const;\nconst d = x as Foo;\nconst e = {} as any;\n"}, [("a.ts", 1, 11)])
 case("no-magic-numbers", {"a.ts": "const A = 5;\nlet b = 6;\nf(7, -8, 1);\nenum E { A = 9 }\nnew Array(10);\ntype T = 11;\nconst c = -12;\nconst d = 13 * e;\n"}, [("a.ts", 2, 9), ("a.ts", 3, 3), ("a.ts", 3, 7), ("a.ts", 8, 11)], {"allowed-numbers": ["1"]})
 case("no-process-env", {"a.ts": "const a = process.env.A;\nconst b = process.env;\nconst c = process['x'];\nprocess.env.B.trim();\n"}, [("a.ts", 1, 11), ("a.ts", 2, 11), ("a.ts", 4, 1)])
-case("no-console", {"a.ts": "log(1);\nconsole.log(1);\nconsole['warn'](2);\nconst { log, warn: w } = console;\nlog(3);\nw(4);\n", "scripts/b.ts": "console.log(1);\n"}, [("a.ts", 2, 1), ("a.ts", 3, 1), ("a.ts", 5, 1), ("a.ts", 6, 1)], {"allow-patterns": ["scripts/**"]})
+case("no-console", {"a.ts": "log(1);\nconsole.log(1);\nconsole['warn'](2);\nconst { log, warn: w } = console;\nlog(3);\nw(4);\n", "scripts/b.ts": "console.log(1);\n"}, [("a.ts", 2, 1), ("a.ts", 3, 1), ("a.ts", 5, 1), ("a.ts", 6, 1)], {"allow-patterns": ["**/scripts/**"]})
 case("no-debugger", {"a.ts": "debugger;\nif (a) {\n  debugger\n}\n"}, [("a.ts", 1, 1), ("a.ts", 3, 3)])
 case("no-eval", {"a.ts": "eval('x');\n  new Function('y');\nfoo.eval('z');\nFunction('q');\n"}, [("a.ts", 1, 1), ("a.ts", 2, 7)])
 case("no-focused-test", {"a.ts": "it.only('x', f);\ndescribe.only('y', g);\nit('z', f);\nfoo.only(1);\n"}, [("a.ts", 1, 1), ("a.ts", 2, 1)])
@@ -88,26 +93,50 @@ case("no-abbreviations", {"a.ts": "const submitBtn = 1;\nfunction f(appCtx: stri
 case("no-nested-functions", {"a.ts": "function a() {\n  const b = () => {\n    function c() {}\n  };\n}\nclass K { m() { return () => () => 1; } }\n"}, [("a.ts", 3, 5), ("a.ts", 6, 30)])
 
 
-def _facts(spark, rule: str) -> rules.Facts:
-    files, _, options, settings = CASES[rule]
+#: Places outside the suppliers' folders: the root has folders and no barrel.
+SHARED = {"directory-must-have-barrel": [("", None, None)]}
+PLANTED = "s_acctbal >= 0"
+
+
+def _planted(spark, sf_dir: str, rule: str) -> DataFrame:
+    """``(path, source)``: each supplier's folder, with the case or empty files."""
+    files = spark.createDataFrame(sorted(CASES[rule][0].items()), "path string, source string")
+    owners = table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey, '/') as home", "cast(s_suppkey as string) as k", f"{PLANTED} as planted")
+    told = owners.where("planted").crossJoin(F.broadcast(files)).select(F.concat("home", F.replace("path", F.lit("@k"), "k")).alias("path"), F.replace("source", F.lit("'@s/"), F.concat(F.lit("'@"), F.rtrim("home", F.lit("/")), F.lit("/"))).alias("source"))
+    # three files, as fewer or more would break rules of their own
+    clean = owners.where("not planted").withColumn("n", F.explode(F.array(*map(F.lit, "abc"))))
+    told = told.union(clean.select(F.concat("home", F.lit("clean"), "k", "n", F.lit(".test.ts")), F.lit("")))
+    return told.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _facts(spark, rule: str, sf_dir: str) -> rules.Facts:
+    _, _, options, settings = CASES[rule]
     level = {"layer-boundaries": "warn"} if rule == "layer-boundaries" else {}
-    config = rules.Config(severity=level, options={rule: options} if options else {}, layers=settings.get("layers", []))
     make = spark.createDataFrame
-    packages = make(settings["packages"], "name string, directory string") if "packages" in settings else None
-    entries = make(settings["entries"], "package string, subpath string, path string") if "entries" in settings else None
-    return rules.Facts(make(sorted(files.items()), "path string, source string"), config, packages=packages, entries=entries)
+    # layers and packages are configuration: one entry for each supplier
+    homes = [f"s{r[0]}/" for r in table(spark, sf_dir, "supplier").where(PLANTED).select("s_suppkey").collect()] if settings else []
+    layers = [(f"{h}{name}", [h + p for p in folders], [h + x for x in more]) for h in homes for name, folders, more in settings.get("layers", [])]
+    config = rules.Config(severity=level, options={rule: options} if options else {}, layers=layers)
+    packages = make([(n.replace("@s", f"@{h[:-1]}"), h + p) for h in homes for n, p in settings["packages"]], "name string, directory string") if "packages" in settings else None
+    entries = make([(n.replace("@s", f"@{h[:-1]}"), s, h + p) for h in homes for n, s, p in settings["entries"]], "package string, subpath string, path string") if "entries" in settings else None
+    return rules.Facts(materialize(_planted(spark, sf_dir, rule), "tree"), config, packages=packages, entries=entries)
 
 
-def found(spark, rule: str) -> DataFrame:
-    return rules.RULES[rule](_facts(spark, rule)).select("file", "line", "column", "rule", "severity")
+def found(spark, rule: str, sf_dir: str) -> DataFrame:
+    return rules.RULES[rule](_facts(spark, rule, sf_dir)).select("file", "line", "column", "rule", "severity")
 
 
 def _sql(rule: str) -> str:
     severity = "warn" if rule == "layer-boundaries" else next(s for n, _, s, _ in rules.CATALOGUE if n == rule)
     put = lambda v: "null" if v is None else str(v)
-    rows = ", ".join(f"('{f}', {put(ln)}, {put(c)})" for f, ln, c in CASES[rule][1])
-    return f"select file, cast(line as int) as line, cast(\"column\" as int) as \"column\", '{rule}' as rule, '{severity}' as severity from (values {rows}) t(file, line, \"column\")"
+
+    def rows(file: str, places: list, source: str) -> str:
+        listed = ", ".join(f"('{f}', {put(ln)}, {put(c)})" for f, ln, c in places)
+        return f"select {file} as file, cast(line as int) as line, cast(\"column\" as int) as \"column\", '{rule}' as rule, '{severity}' as severity from (values {listed}) t(file, line, \"column\"){source}"
+
+    sql = rows("'s' || s_suppkey || '/' || replace(file, '@k', s_suppkey::varchar)", CASES[rule][1], f", supplier where {PLANTED}")
+    return sql + (f" union all {rows('file', SHARED[rule], '')}" if rule in SHARED else "")
 
 
 for _name in CASES:
-    query(f"rule_{_name.replace('-', '_')}", _sql(_name))(lambda spark, sf_dir, name=_name: found(spark, name))
+    query(f"rule_{_name.replace('-', '_')}", _sql(_name))(lambda spark, sf_dir, name=_name: found(spark, name, sf_dir))
