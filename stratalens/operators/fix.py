@@ -17,8 +17,9 @@ from stratalens.runtime import prepare
 from stratalens.sources.typescript import SyntaxFailure, parse
 
 
-def collect(violations: DataFrame, syn: DataFrame) -> DataFrame:
-    """edits of the rules whose findings say where and what to change."""
+def collect(violations: DataFrame, syn: DataFrame, more: Iterable[DataFrame] = ()) -> DataFrame:
+    """edits of the rules whose findings say where and what to change,
+    and ``more`` rows ``(path, rule, start, end, replacement)``."""
     v = violations.where("start is not null")
     end = F.col("end")
     whole = {"no-debugger": ("", F.col("start"), end), "no-any": ("unknown", F.col("start"), end), "no-non-null-assertion": ("", end - 1, end)}
@@ -37,7 +38,7 @@ def collect(violations: DataFrame, syn: DataFrame) -> DataFrame:
     generic = F.col("tt").startswith("Array<")
     parts.append(rows.select("path", "rule", F.col("ts").alias("start"), F.col("ts").alias("end"), F.when(generic, "Readonly").otherwise("readonly ").alias("replacement")))
     out = parts[0]
-    for p in parts[1:]:
+    for p in [*parts[1:], *more]:
         out = out.unionByName(p)
     fix_id = F.xxhash64("path", "rule", "start", "end")
     return out.distinct().withColumn("fix_id", fix_id).withColumn("edit_id", F.col("fix_id"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tomllib
 from typing import Any
 
@@ -11,27 +13,269 @@ from stratalens.plans.rules import CATALOGUE, CONFLICTS, DOMAINS, OPTIONS, Confi
 
 FILE = "lint.toml"
 LEVELS = ("off", "info", "warn", "error")
-STRICT_ERRORS = {n for n, _, s, _ in CATALOGUE if s != "off"} - {"no-large-file", "max-function-params", "max-directory-depth", "sort-exports", "sort-imports", "no-nested-functions", "no-orphan-files"}
+#: Rules of the presets, each with its level and options; rules that a preset leaves
+#: out keep their own level.  Fixed values.
+PRESETS = {
+    "balanced": """
+no-console warn allow-patterns=[]
+no-debugger error
+no-eval error
+no-empty-interface error
+no-export-star warn
+no-focused-test error
+no-skipped-test error
+no-test-code-in-production error
+no-mutable-exports error
+no-namespace error
+no-silent-catch error
+no-non-null-assertion error
+no-unsafe-optional-chaining warn
+no-await-in-loop warn
+no-promise-executor-return warn
+explicit-return-type warn
+no-circular-import error
+no-large-file warn max-lines=500
+max-function-params warn max-params=3
+no-barrel-files info
+no-barrel-chain info
+no-logic-in-barrel warn
+no-package-cycle error
+no-test-import error
+no-process-env warn
+no-type-assertion warn
+no-magic-numbers info
+no-abbreviations info
+no-default-export info components-only=false
+no-enums info
+no-interface info allow-declaration-merging=true
+no-inline-types info
+no-comments info allow-doc-comments=true
+no-side-effect-imports info
+sort-exports info
+sort-imports info
+prefer-readonly warn
+""",
+    "strict": """
+no-console error allow-patterns=[]
+no-debugger error
+no-eval error
+no-empty-interface error
+no-export-star error
+no-focused-test error
+no-skipped-test error
+no-test-code-in-production error
+no-mutable-exports error
+no-namespace error
+no-silent-catch error
+no-non-null-assertion error
+no-unsafe-optional-chaining error
+no-await-in-loop error
+no-promise-executor-return error
+no-type-assertion error
+explicit-return-type error
+no-circular-import error
+no-large-file warn max-lines=300
+max-function-params warn max-params=3
+no-barrel-files error
+no-barrel-chain error
+no-logic-in-barrel error
+no-magic-numbers error allowed-numbers=["0", "1", "-1"] enforce-strings=false
+no-any error allowed-folders=[]
+no-abbreviations error extra-abbreviations=[]
+no-comments error allow-doc-comments=true
+no-default-export error components-only=false
+prefer-readonly error
+no-enums error
+no-interface error allow-declaration-merging=true
+no-inline-types error
+no-logic-in-domain error
+max-directory-depth warn max-depth=5 ignore-dirs=[]
+no-duplicate-file-names error ignore-names=[]
+no-dump-files error extra-names=[]
+no-empty-directories error ignore-dirs=[]
+no-process-env error
+no-restricted-imports error restricted=[]
+no-side-effect-imports error
+no-test-import error
+no-package-cycle error
+no-unnecessary-type-assertion error
+no-then-chain error
+sort-exports warn
+sort-imports warn
+no-nested-functions warn max-depth=2 contexts=["function", "arrow", "class-method", "object-method"]
+no-orphan-files warn entry-files=["main", "app", "layout", "page"]
+entry-file-no-logic error entry-files=["main", "app", "layout", "page"]
+""",
+    "migration": """
+no-console off
+no-debugger error
+no-eval error
+no-empty-interface error
+no-export-star off
+no-focused-test error
+no-skipped-test error
+no-test-code-in-production error
+no-mutable-exports error
+no-namespace error
+no-silent-catch error
+no-non-null-assertion off
+no-unsafe-optional-chaining off
+no-await-in-loop off
+no-promise-executor-return off
+no-type-assertion off
+explicit-return-type off
+no-circular-import error
+no-large-file info max-lines=800
+max-function-params info max-params=5
+no-barrel-files off
+no-barrel-chain off
+no-logic-in-barrel off
+no-magic-numbers off
+no-any off
+no-abbreviations off
+no-comments off
+no-default-export off
+prefer-readonly off
+no-enums off
+no-interface off
+no-inline-types off
+no-logic-in-domain off
+max-directory-depth off
+no-duplicate-file-names off
+no-dump-files off
+no-empty-directories off
+no-process-env off
+no-restricted-imports off
+no-side-effect-imports off
+no-test-import error
+no-package-cycle error
+sort-exports off
+sort-imports off
+""",
+    "react": """
+no-console warn allow-patterns=[]
+no-debugger error
+no-eval error
+no-empty-interface error
+hook-no-jsx error
+hook-prefix error prefixes=["use"]
+component-file-only-components warn
+no-default-export info components-only=true
+no-barrel-files info
+no-logic-in-barrel warn
+boolean-prefix info prefixes=["is", "has", "can"] ignore-constants=false
+no-silent-catch warn
+no-non-null-assertion error
+no-unsafe-optional-chaining warn
+no-await-in-loop warn
+no-promise-executor-return warn
+explicit-return-type info
+no-circular-import error
+no-large-file warn max-lines=400
+max-function-params warn max-params=3
+entry-file-no-logic warn entry-files=["main", "app", "layout", "page"]
+no-orphan-files warn entry-files=["main", "app", "layout", "page"]
+no-nested-functions warn max-depth=2 contexts=["function", "arrow", "class-method", "object-method"]
+""",
+    "library": """
+no-console off
+no-debugger error
+no-eval error
+no-empty-interface error
+no-export-star off
+no-focused-test error
+no-skipped-test error
+no-test-code-in-production error
+no-mutable-exports error
+no-namespace error
+no-silent-catch error
+no-non-null-assertion error
+no-unsafe-optional-chaining warn
+no-await-in-loop warn
+no-promise-executor-return warn
+no-type-assertion warn
+explicit-return-type error
+no-circular-import error
+no-large-file warn max-lines=500
+max-function-params warn max-params=3
+no-barrel-files info
+no-barrel-chain info
+no-logic-in-barrel warn
+no-magic-numbers warn allowed-numbers=["0", "1", "-1"] enforce-strings=false
+no-any warn allowed-folders=[]
+no-abbreviations info
+prefer-readonly error
+no-interface info allow-declaration-merging=true
+no-restricted-imports warn restricted=[]
+no-package-cycle error
+no-test-import error
+no-side-effect-imports warn
+""",
+    "no-barrels": """
+no-console warn allow-patterns=[]
+no-debugger error
+no-eval error
+no-empty-interface error
+no-barrel-files error
+no-barrel-chain error
+no-logic-in-barrel error
+directory-must-have-barrel off
+no-export-star error
+no-circular-import error
+""",
+}
+#: Folders and suffixes that a preset spells out.  Fixed values.
+PRESET_STRUCTURE = {
+    "react": {
+        "hooks": {"folders": ["hooks"], "file-suffixes": [".hook.ts", ".hooks.ts"]},
+        "components": {"folders": ["components"], "file-suffixes": [".component.tsx", ".components.tsx"]},
+    }
+}
 
 
 def preset(name: str) -> dict[str, Any]:
     """A named starting point; rules that it leaves out keep their level."""
-    levels = {n: s for n, _, s, _ in CATALOGUE}
-    if name == "balanced":
-        chosen = dict(levels)
-    elif name == "strict":
-        chosen = {n: "error" if n in STRICT_ERRORS else s for n, s in levels.items()}
-    elif name == "migration":
-        chosen = {n: s if s == "error" else "off" for n, s in levels.items()} | {"no-non-null-assertion": "off"}
-    elif name == "react":
-        chosen = levels | {"hook-prefix": "warn", "hook-no-jsx": "error", "component-file-only-components": "error", "no-default-export": "warn"}
-    elif name == "library":
-        chosen = levels | {"explicit-return-type": "error", "no-default-export": "error", "no-barrel-files": "off", "no-barrel-chain": "off"}
-    elif name == "no-barrels":
-        chosen = levels | {"no-barrel-files": "error", "no-barrel-chain": "error", "directory-must-have-barrel": "off"}
-    else:
+    if name not in PRESETS:
         raise ValueError(f"no preset {name!r}")
-    return {"project": {"root": "src", "respect-gitignore": True}, "rules": {n: {"severity": s} for n, s in sorted(chosen.items())}}
+    chosen: dict[str, dict[str, Any]] = {}
+    for line in PRESETS[name].split("\n"):
+        if line:
+            rule, level, rest = f"{line}  ".split(" ", 2)
+            options = re.findall(r"[a-z-]+=(?:\[[^\]]*\]|\S+)", rest)
+            chosen[rule] = {"severity": level} | {k: json.loads(v) for k, _, v in (o.partition("=") for o in options)}
+    out: dict[str, Any] = {"project": {"root": "src", "respect-gitignore": True}, "rules": chosen}
+    if name in PRESET_STRUCTURE:
+        out["structure"] = {k: dict(v) for k, v in PRESET_STRUCTURE[name].items()}
+    return out
+
+
+def dump(settings: dict[str, Any]) -> str:
+    """Settings as TOML, tables in their order."""
+    put = lambda v: json.dumps(v, ensure_ascii=False)
+    lines: list[str] = []
+
+    def table(path: list[str], value: dict[str, Any]) -> None:
+        plain = {k: v for k, v in value.items() if not isinstance(v, dict)}
+        if plain and path:
+            lines.extend([f"[{'.'.join(path)}]", *(f"{k} = {put(v)}" for k, v in plain.items()), ""])
+        elif plain:
+            lines.extend([*(f"{k} = {put(v)}" for k, v in plain.items()), ""])
+        for k, v in value.items():
+            if isinstance(v, dict):
+                table([*path, k], v)
+
+    table([], settings)
+    return "\n".join(lines)
+
+
+def init(root: str, name: str = "balanced", force: bool = False) -> str:
+    """Write the file of a preset; one that exists is kept unless forced."""
+    at = os.path.join(root, FILE)
+    if os.path.exists(at) and not force:
+        raise FileExistsError(at)
+    with open(at, "w") as f:
+        f.write(dump(preset(name)))
+    return at
 
 
 def merge(parent: dict[str, Any], child: dict[str, Any]) -> dict[str, Any]:

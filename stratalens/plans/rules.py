@@ -90,6 +90,7 @@ CATALOGUE = (
     ("sort-exports", "exports", "info", "Export declarations should be sorted by exported name."),
     ("sort-imports", "imports", "info", "Import declarations should be sorted by module specifier."),
 )
+#: Rules with a fix, contradictions, ignored folders, and names of test code.  Fixed values.
 FIXABLE = (
     "no-any", "no-debugger", "no-empty-interface", "no-focused-test", "no-non-null-assertion", "no-process-env", "no-skipped-test", "prefer-readonly",
     "prefer-satisfies", "sort-exports", "sort-imports",
@@ -100,7 +101,7 @@ TEST_GLOBALS = ("describe", "it", "test", "expect", "beforeEach", "afterEach", "
 TEST_LIBRARIES = ("jest", "vitest", "mocha", "@testing-library", "@jest", "@vitest", "chai", "sinon", "cypress", "playwright", "@playwright/test")
 #: Options of rules and their defaults.  Fixed values.
 OPTIONS: dict[str, dict[str, Any]] = {
-    "boolean-prefix": {"prefixes": ["is", "has", "can"]},
+    "boolean-prefix": {"prefixes": ["is", "has", "can"], "ignore-constants": False},
     "directory-must-have-barrel": {"barrel-names": list(paths.BARRELS)},
     "entry-file-no-logic": {"entry-files": ["main", "app", "layout", "page"]},
     "explicit-return-type": {"include-arrow-functions": True, "include-class-methods": False, "include-private": False, "ignore-when-inferred": False},
@@ -110,7 +111,7 @@ OPTIONS: dict[str, dict[str, Any]] = {
     "max-function-params": {"max-params": 3},
     "max-items-per-directory": {"max-items": 20, "ignore-dirs": [], "count-folders": False},
     "min-items-per-directory": {"min-items": 3, "ignore-dirs": [], "count-folders": False},
-    "no-abbreviations": {"extra-abbreviations": [], "allow-abbreviations": [], "abbreviation-patterns": []},
+    "no-abbreviations": {"extra-abbreviations": [], "allow-abbreviations": [], "abbreviation-patterns": [], "ignore-properties": False, "ignore-destructured": False},
     "no-anemic-domain": {"max-files": 1, "ignore-dirs": []},
     "no-any": {"allowed-folders": [], "allow-in-types": False, "allow-explicit-any-in": []},
     "no-barrel-files": {"barrel-names": list(paths.BARRELS)},
@@ -496,11 +497,11 @@ def _sorted_runs(f: Facts, kinds: tuple[str, ...], key: Column) -> DataFrame:
     top = f.syn.where(F.col("parent_id").isNull() & ~F.col("kind").isin("comment", "directive", "failure"))
     w = W.partitionBy("path").orderBy("stmt_index")
     mine = F.col("kind").isin(*kinds)
-    last = F.col("line") + F.size(F.split(F.coalesce(_a("text"), F.lit("")), "\n")) - 1
+    last = _a("last_line").cast("int")
     rows = top.withColumn("mine", mine).withColumn("last", last).withColumn("run", F.sum(F.when(mine & F.lag("mine", 1, False).over(w), 0).otherwise(1)).over(w))
     rows = rows.where("mine").withColumn("key", F.lower(key))
     r = W.partitionBy("path", "run").orderBy("stmt_index")
-    return rows.withColumn("grp", F.sum(F.when(F.col("line") - F.lag("line").over(r) > 1, 1).otherwise(0)).over(r))
+    return rows.withColumn("grp", F.sum(F.when(F.col("line") - F.lag("last").over(r) > 1, 1).otherwise(0)).over(r))
 
 
 def _disorder(rows: DataFrame, bucket: Column) -> DataFrame:
@@ -529,13 +530,34 @@ def _newlines(f: Facts, name: str, rows: DataFrame, bucket: Column, noun: str) -
     return None
 
 
-@rule("sort-imports")
-def sort_imports(f: Facts) -> DataFrame:
+def _import_rows(f: Facts) -> tuple[DataFrame, Column]:
+    """Imports in their runs, and the group that each belongs to."""
     order = f.config.get("sort-imports", "groups")
     internal = paths.matches_any(F.col("name"), f.config.get("sort-imports", "internal-patterns"))
     kind = paths.specifier_class(F.col("name"), internal)
     bucket = reduce(lambda acc, ig: F.when(kind == ig[1], ig[0]).otherwise(acc), enumerate(order), F.lit(len(order)))
-    rows = _sorted_runs(f, ("import",), F.col("name"))
+    return _sorted_runs(f, ("import",), F.col("name")), bucket
+
+
+def _export_rows(f: Facts) -> DataFrame:
+    """A default export sorts first, ``export *`` by its module."""
+    first = F.split(F.coalesce(_a("exported"), F.lit("")), ",")[0]
+    key = F.when(F.col("kind") == "export_default", "").when(F.col("kind") == "export_all", F.col("name")).when(F.col("kind").isin("export_names", "export_from"), first).otherwise(F.coalesce("name", F.lit("")))
+    return _sorted_runs(f, ("export", "export_default", "export_all", "export_names", "export_from"), key)
+
+
+def sorted_statements(f: Facts) -> dict[str, tuple[DataFrame, Column, list[str]]]:
+    """For each sorting rule its statements, what they sort by, and the columns
+    of what is sorted together."""
+    imports, bucket = _import_rows(f)
+    grouped = bool(f.config.options.get("sort-imports", {}).get("groups"))
+    by = F.concat(F.lpad(bucket.cast("string"), 3, "0"), F.lit("\x00"), F.col("key")) if grouped else F.col("key")
+    return {"sort-imports": (imports, by, ["run"] if grouped else ["run", "grp"]), "sort-exports": (_export_rows(f), F.col("key"), ["run", "grp"])}
+
+
+@rule("sort-imports")
+def sort_imports(f: Facts) -> DataFrame:
+    rows, bucket = _import_rows(f)
     bad = _disorder(rows, bucket) if f.config.options.get("sort-imports", {}).get("groups") else _out_of_order(rows)
     out = _rows(f, "sort-imports", bad, subject=F.col("name"))
     more = _newlines(f, "sort-imports", rows, bucket, "Import")
@@ -544,10 +566,7 @@ def sort_imports(f: Facts) -> DataFrame:
 
 @rule("sort-exports")
 def sort_exports(f: Facts) -> DataFrame:
-    """A default export sorts first, ``export *`` by its module."""
-    first = F.split(F.coalesce(_a("exported"), F.lit("")), ",")[0]
-    key = F.when(F.col("kind") == "export_default", "").when(F.col("kind") == "export_all", F.col("name")).when(F.col("kind").isin("export_names", "export_from"), first).otherwise(F.coalesce("name", F.lit("")))
-    rows = _sorted_runs(f, ("export", "export_default", "export_all", "export_names", "export_from"), key)
+    rows = _export_rows(f)
     out = _rows(f, "sort-exports", _out_of_order(rows), subject=F.col("key"))
     more = _newlines(f, "sort-exports", rows, F.col("kind"), "Export")
     return out.unionByName(more) if more is not None else out
@@ -643,8 +662,9 @@ def _prefixed(name: Column, prefixes: list[str]) -> Column:
 
 @rule("boolean-prefix")
 def boolean_prefix(f: Facts) -> DataFrame:
+    kinds = ("let",) if f.config.get("boolean-prefix", "ignore-constants") else ("let", "const")
     boolean = _a("type").isin("boolean", "Boolean") | (_a("init") == "boolean")
-    rows = f.where("declarator").where(_a("decl").isin("let", "const") & boolean & F.col("name").isNotNull() & ~_prefixed(F.col("name"), f.config.get("boolean-prefix", "prefixes")))
+    rows = f.where("declarator").where(_a("decl").isin(*kinds) & boolean & F.col("name").isNotNull() & ~_prefixed(F.col("name"), f.config.get("boolean-prefix", "prefixes")))
     return _rows(f, "boolean-prefix", rows, subject=F.col("name"))
 
 
@@ -886,6 +906,10 @@ def no_abbreviations(f: Facts) -> DataFrame:
     for w in reversed(words):
         hit = F.when(F.lower("name").contains(w.lower()), w).otherwise(hit)
     rows = f.where("binding", "param", "import_name", "catch_param", "function", "class", "interface", "type_alias", "enum").where("name is not null").withColumn("hit", hit).where("hit is not null")
+    if get("ignore-destructured"):
+        rows = rows.where(~F.array_contains("anc", "pattern"))
+    if get("ignore-properties"):
+        rows = rows.where(~F.coalesce(_is("in_object"), F.lit(False)))
     spot = tuple(F.coalesce(a, F.col(b)) for a, b in zip(_named("name"), ("start", "end", "line", "column")))
     return _rows(f, "no-abbreviations", rows, detail=F.concat(F.lit("contains `"), F.col("hit"), F.lit("`")), subject=F.col("name"), place=spot)
 

@@ -208,7 +208,7 @@ def facts(path: str, text: str) -> Iterator[tuple]:
         n, stack, anc, parent, stmt, shown = todo.pop()
         up = stack[-1].kind if stack else ""
         exported = up in ("export", "export_default") or shown and (up == "variables" or up == "declarator" and n.kind in _FUNCTION_VALUES)
-        yield row(n.kind, n.name, n.start, n.end, parent, anc, stmt, exported, n.attrs | _details(n, stack, text) | {"top": not stack or len(stack) == 1 and up in ("export", "export_default")})
+        yield row(n.kind, n.name, n.start, n.end, parent, anc, stmt, exported, n.attrs | _details(n, stack, text) | {"top": not stack or len(stack) == 1 and up in ("export", "export_default")} | ({} if stack else {"last_line": places.line(n.end - 1)}))
         me = ids
         for c in reversed(n.children):
             todo.append((c, [*stack, n], [*anc, n.kind], me, stmt, exported and n.kind in ("variables", "declarator") or n.kind in ("export", "export_default")))

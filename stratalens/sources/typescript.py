@@ -47,7 +47,7 @@ class Parser:
     def __init__(self, text: str, jsx: bool):
         self.text, self.jsx = text, jsx
         self.comments: dict[int, int] = {}
-        self.pos = self.last_end = 0
+        self.pos = self.last_end = self.objects = 0
         self.advance()
 
     # -- tokens
@@ -313,6 +313,7 @@ class Parser:
         if self.at("{", "["):
             close = {"{": "}", "[": "]"}[self.next()]
             n = Node("pattern", start)
+            self.objects += close == "}"
             while not self.eat(close):
                 if self.eat(","):
                     continue
@@ -334,11 +335,14 @@ class Parser:
                         if self.eat(":"):
                             n.children.append(self.default(self.binding(role)))
                         else:
-                            n.children.append(self.default(Node(role, at, self.last_end, name=name, key=name)))
+                            n.children.append(self.default(Node(role, at, self.last_end, name=name, key=name, in_object=True)))
+            self.objects -= close == "}"
         else:
             if self.kind != "id":
                 self.fail("expected a name")
             n = Node(role, start, self.end, name=self.value)
+            if self.objects:
+                n.attrs["in_object"] = True
             self.next()
         if role == "binding":
             self.eat("!")

@@ -1,12 +1,14 @@
 import json
 import os
 import subprocess
+import tomllib
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.functions import paths
 from stratalens.operators import cache, fix, post
-from stratalens.plans import config, report, rules
+from stratalens.plans import config, report, rewrites, rules
 from stratalens.sources import extract, project
 from stratalens.sources.typescript import SyntaxFailure, parse
 from stratalens.streaming import watch
@@ -101,6 +103,66 @@ def test_overlapping_and_bad_edits(spark):
     assert fix.splice(b"abc", [(1, 2, "X"), (3, 3, "!")]) == b"aXc!"
 
 
+def test_every_fixable_rule_has_a_fix(spark):
+    """Each fix applied once leaves nothing for its rule to report or to fix."""
+    files = {
+        "any.ts": ("no-any", "let a: any;\n", "let a: unknown;\n"),
+        "dbg.ts": ("no-debugger", "debugger;\nf();\n", "\nf();\n"),
+        "iface.ts": ("no-empty-interface", "export interface A<T> { };\ninterface B extends C {}\ninterface D {}\ninterface D { x: 1 }\n", "export type A<T> = Record<string, never>;\ninterface B extends C {}\ninterface D {}\ninterface D { x: 1 }\n"),
+        "only.ts": ("no-focused-test", "it.only('é', f);\n", "it('é', f);\n"),
+        "nn.ts": ("no-non-null-assertion", "const a = b!;\n", "const a = b;\n"),
+        "env.ts": ("no-process-env", "const a = process.env.A, b = process.env.B; // x\r\nconst c = `${process.env.C}\n`;\nlast(process.env)", "const a = process.env.A, b = process.env.B; // x // lint-ignore-line no-process-env\r\nconst c = `${process.env.C}\n`;\nlast(process.env) // lint-ignore-line no-process-env"),
+        "skip.ts": ("no-skipped-test", "test.skip('x', f);\n", "test('x', f);\n"),
+        "ro.ts": ("prefer-readonly", "export function f(a: string[]): void {}\n", "export function f(a: readonly string[]): void {}\n"),
+        "sat.ts": ("prefer-satisfies", "const a = { b: 1 } as Foo;\n", "const a = { b: 1 } satisfies Foo;\n"),
+        "exp.ts": ("sort-exports", "export const b = 'é';\nexport const a = 2;\n\nexport { z };\n", "export const a = 2;\nexport const b = 'é';\n\nexport { z };\n"),
+        "imp.ts": ("sort-imports", "import c from 'c';\nimport {\n  b,\n} from 'b';\nimport a from 'a';\n\nimport y from 'y';\n// why\nimport x from 'x';\n", "import a from 'a';\nimport {\n  b,\n} from 'b';\nimport c from 'c';\n\nimport y from 'y';\n// why\nimport x from 'x';\n"),
+    }
+    assert {r for r, _, _ in files.values()} == set(rules.FIXABLE)
+    facts = rules.Facts(frame(spark, {p: s for p, (_, s, _) in files.items()}), rules.Config(severity={r: "warn" for r in rules.FIXABLE}))
+    v = rules.lint(facts, names=list(rules.FIXABLE))["violations"]
+    edits = rewrites.collect(facts, v)
+    for rule in rules.FIXABLE:
+        mine = {p: s for p, (r, s, _) in files.items() if r == rule}
+        done = {r.path: r.after for r in fix.apply(facts.sources.where(F.col("path").isin(*mine)), edits.where(F.col("rule") == rule)).collect()}
+        assert done == {p: files[p][2] for p in mine}, rule
+    assert "+let a: unknown;" in {r.path: r.diff for r in rewrites.previews(fix.apply(facts.sources, edits)).collect()}["any.ts"]
+
+
+def test_options_of_names(spark):
+    files = frame(spark, {"a.ts": "const { submitBtn, x: { yBtn } } = q;\nconst [aBtn] = z;\nconst done: boolean = f();\nlet open: boolean = f();\n"})
+    seen = lambda rule, options: sorted(r.subject for r in rules.RULES[rule](rules.Facts(files, rules.Config(options={rule: options}))).collect())
+    assert seen("no-abbreviations", {}) == ["aBtn", "submitBtn", "yBtn"]
+    assert seen("no-abbreviations", {"ignore-properties": True}) == ["aBtn"]
+    assert seen("no-abbreviations", {"ignore-destructured": True}) == []
+    assert seen("boolean-prefix", {}) == ["done", "open"] and seen("boolean-prefix", {"ignore-constants": True}) == ["open"]
+
+
+#: Some of what each preset sets.  Fixed values.
+PRESET_LEVELS = {
+    "balanced": {"no-console": "warn", "no-barrel-files": "info", "prefer-readonly": "warn", "no-any": None},
+    "strict": {"no-console": "error", "no-large-file": "warn", "no-nested-functions": "warn", "entry-file-no-logic": "error", "no-then-chain": "error"},
+    "migration": {"no-console": "off", "no-large-file": "info", "max-function-params": "info", "no-silent-catch": "error", "no-test-import": "error"},
+    "react": {"hook-prefix": "error", "component-file-only-components": "warn", "boolean-prefix": "info", "no-silent-catch": "warn", "no-comments": None},
+    "library": {"no-console": "off", "explicit-return-type": "error", "no-barrel-chain": "info", "prefer-readonly": "error", "no-enums": None},
+    "no-barrels": {"no-barrel-files": "error", "directory-must-have-barrel": "off", "no-export-star": "error", "no-debugger": "error"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(config.PRESETS))
+def test_presets(tmp_path, name):
+    chosen = config.preset(name)
+    assert config.check(chosen) == []
+    assert {r: chosen["rules"].get(r, {}).get("severity") for r in PRESET_LEVELS[name]} == PRESET_LEVELS[name]
+    with open(config.init(str(tmp_path), name), "rb") as f:
+        assert tomllib.load(f) == chosen
+    with pytest.raises(FileExistsError):
+        config.init(str(tmp_path), name)
+    built = config.build(chosen)
+    for rule, default in ((n, s) for n, _, s, _ in rules.CATALOGUE if n not in chosen["rules"]):
+        assert built.level(rule) == default
+
+
 def test_config():
     merged = config.merge({"project": {"root": "src"}, "rules": {"no-any": {"severity": "warn", "allow-in-types": True}}}, {"project": {"root": "x"}, "rules": {"no-any": "error"}})
     assert merged == {"project": {"root": "src"}, "rules": {"no-any": {"severity": "error", "allow-in-types": True}}}
