@@ -8,26 +8,30 @@ from pyspark.sql import functions as F
 
 from stratalens.plans import rules
 from stratalens.registry import query
-from stratalens.runtime import materialize, scratch_dir, table
+from stratalens.runtime import scratch_dir, table
 from stratalens.streaming.watch import changes_between
 
 
 @query("watch_latest_change", "select user_id as path, arg_max(event_type, struct_pack(ts := ts, id := event_id)) as state, count(*) as n_changes from events group by 1")
 def watch_latest_change(spark, sf_dir):
-    """Micro-batches fold changes into a state table; each batch
-    writes a new table, so running one again changes nothing."""
-    held = {}
+    """Micro-batches fold changes into a state table.  Each batch reads
+    the table of the batch before and writes its own, so running one again
+    changes nothing and a restart finds the state where the checkpoint is."""
+    home = f"{scratch_dir(spark)}/watch-{uuid.uuid4().hex}"
+    state = lambda i: f"{home}/state-{i}"
 
     def step(batch, batch_id):
-        new = batch.select(F.col("user_id").alias("path"), F.struct("ts", "event_id", "event_type").alias("last"), F.lit(1).cast("long").alias("n"))
-        both = new if "state" not in held else held["state"].unionByName(new)
-        held["state"] = materialize(both.groupBy("path").agg(F.max("last").alias("last"), F.sum("n").alias("n")), "state")
+        rows = batch.select(F.col("user_id").alias("path"), F.struct("ts", "event_id", "event_type").alias("last"), F.lit(1).cast("long").alias("n"))
+        if batch_id:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(state(batch_id - 1)))
+        rows.groupBy("path").agg(F.max("last").alias("last"), F.sum("n").alias("n")).write.mode("overwrite").parquet(state(batch_id))
 
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events*.parquet")
-    run = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{scratch_dir(spark)}/watch-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return held["state"].select("path", F.col("last.event_type").alias("state"), F.col("n").alias("n_changes"))
+    last = max(p["batchId"] for p in run.recentProgress if p["numInputRows"])
+    return spark.read.parquet(state(last)).select("path", F.col("last.event_type").alias("state"), F.col("n").alias("n_changes"))
 
 
 @query(

@@ -1,10 +1,12 @@
 """Watching a changing tree with Structured Streaming.
 
 A change stream carries ``(path, source)`` rows, a null source meaning that the file
-is gone.  Each micro-batch updates the state tables and lints only what can have
-changed: files of the undirected component of any changed file, in the old graph
-or the new one.  State lives in tables under the shared folder, written anew for
-each batch and named by its id, so a batch that is run again gives the same state.
+is gone.  Each micro-batch parses only the files that changed, and lints only what can
+have changed: files of the undirected component of any changed file, in the old graph
+or the new one, and the few rules that look at the whole tree.  A watcher with a state
+folder writes its tables there under the batch's id and starts each batch from the
+newest state below that id, so a restart goes on where the checkpoint does, and a
+batch that is run again gives the same state.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from stratalens.functions import paths
 from stratalens.operators import graph, post
 from stratalens.plans import rules
 from stratalens.runtime import materialize
+from stratalens.sources import extract
 
 DEBOUNCE = "300 milliseconds"
 SCHEMA = "path string, source string, seq long"
@@ -37,20 +40,36 @@ def relevant(changes: DataFrame) -> DataFrame:
     return changes.where(paths.is_source(F.col("path")) | paths.base_name(F.col("path")).isin("tsconfig.json", "lint.toml"))
 
 
+#: Rules whose findings depend on files that no import connects.
+WHOLE_TREE = (
+    "no-empty-directories", "directory-must-have-barrel", "max-items-per-directory", "min-items-per-directory", "max-directory-depth",
+    "no-empty-domain", "no-anemic-domain", "no-god-domain", "no-duplicate-file-names", "no-package-cycle",
+)
+STATE = ("files", "syn", "edges", "violations")
+
+
 class Watcher:
-    """Keeps files, edges and findings current; ``apply`` is one batch."""
+    """Keeps files, syntax, edges and findings current; ``apply`` is one batch."""
 
-    def __init__(self, files: DataFrame, config: rules.Config | None = None, names: list[str] | None = None):
-        self.config, self.names = config, names
+    def __init__(self, files: DataFrame, config: rules.Config | None = None, names: list[str] | None = None, state: str | None = None):
+        self.spark, self.config, self.state = files.sparkSession, config, state
+        self.names = [n for n in rules.RULES if names is None or n in names]
         self.rebuild(files)
 
     def rebuild(self, files: DataFrame) -> None:
         """T4: everything, after settings changed."""
         self.files = materialize(files.select("path", "source"), "files")
         facts = rules.Facts(self.files, self.config)
-        self.edges = facts.edges
+        self.syn, self.edges = facts.syn, facts.edges
         self.violations = materialize(rules.run(facts, self.names), "violations")
 
+    def _facts(self, files: DataFrame, syn: DataFrame, edges: DataFrame | None = None) -> rules.Facts:
+        facts = rules.Facts(files, self.config)
+        facts.syn = syn
+        if edges is not None:
+            facts.edges = edges
+        return facts
+
     def apply(self, changes: DataFrame) -> DataFrame:
         """The findings after ``changes(path, source[, seq])``."""
         changes = relevant(changes)
@@ -60,20 +79,44 @@ class Watcher:
         changes = materialize(changes.select("path", "source"), "changes")
         if changes.isEmpty():
             return self.violations
-        kept = self.files.join(changes, "path", "left_anti")
-        files = materialize(kept.unionByName(changes.where("source is not null")), "files")
+        live = changes.where("source is not null")
+        files = materialize(self.files.join(changes, "path", "left_anti").unionByName(live), "files")
         if not changes.where(~paths.is_source(F.col("path"))).isEmpty():
             self.rebuild(files.where(paths.is_source(F.col("path"))))
             return self.violations
-        facts = rules.Facts(files, self.config)
+        parsed = extract.syntax(live.where(paths.is_source(F.col("path"))))
+        syn = materialize(self.syn.join(changes.select("path"), "path", "left_anti").unionByName(parsed), "syn")
+        facts = self._facts(files, syn)
         seeds = changes.select(F.col("path").alias("node"))
         hit = materialize(graph.affected(self.edges, facts.edges, seeds), "affected")
-        fresh = materialize(rules.run(facts, self.names), "fresh")
-        local = self.violations["line"].isNotNull()
-        near = fresh.join(hit.withColumnRenamed("node", "file"), "file", "left_semi").where("line is not null")
-        # directory and file-set findings depend on all files and are new anyway
-        merged = post.merged(self.violations.where(local), near, hit).unionByName(fresh.where("line is null"))
-        self.files, self.edges, self.violations = files, facts.edges, materialize(merged, "violations")
+        inside = hit.withColumnRenamed("node", "path")
+        few = self._facts(files.join(inside, "path", "left_semi"), syn.join(inside, "path", "left_semi"), facts.edges.join(hit.withColumnRenamed("node", "source"), "source", "left_semi"))
+        near = rules.run(few, [n for n in self.names if n not in WHOLE_TREE] or ["-"])
+        whole = rules.run(facts, [n for n in self.names if n in WHOLE_TREE] or ["-"])
+        old = self.violations.where(~F.col("rule").isin(*WHOLE_TREE))
+        merged = post.merged(old, near, hit).unionByName(whole)
+        self.files, self.syn, self.edges, self.violations = files, syn, facts.edges, materialize(merged, "violations")
+        return self.violations
+
+    def _saved(self) -> list[int]:
+        """Ids of complete states, a marker being written last."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.state}/done")
+        system = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(x.getPath().getName()) for x in system.listStatus(where)) if system.exists(where) else []
+
+    def step(self, changes: DataFrame, batch_id: int) -> DataFrame:
+        """One batch of a stream, from the newest state before it."""
+        if self.state is None:
+            return self.apply(changes)
+        before = [i for i in self._saved() if i < batch_id]
+        if before:
+            for name in STATE:
+                setattr(self, name, self.spark.read.parquet(f"{self.state}/{before[-1]}/{name}"))
+        self.apply(changes)
+        for name in STATE:
+            getattr(self, name).write.mode("overwrite").parquet(f"{self.state}/{batch_id}/{name}")
+            setattr(self, name, self.spark.read.parquet(f"{self.state}/{batch_id}/{name}"))
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.state}/done/{batch_id}")
         return self.violations
 
 
@@ -81,7 +124,7 @@ def watch(stream: DataFrame, watcher: Watcher, checkpoint: str, trigger: str = D
     """Start a query that applies each micro-batch of a change stream."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        found = watcher.apply(batch)
+        found = watcher.step(batch, batch_id)
         if on_batch is not None:
             on_batch(found, batch_id)
 
