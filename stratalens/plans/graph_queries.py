@@ -255,7 +255,7 @@ def graph_intersect(spark, sf_dir):
     return d.part_edges(spark, sf_dir).select("source").intersect(d.ring_edges(spark, sf_dir).select("source"))
 
 
-@query("graph_except", f"with {_TWO} select source from rings except select source from edges")
+@query("graph_except", f"with {_TWO} select source from edges except select source from rings")
 def graph_except(spark, sf_dir):
     """U4."""
-    return d.ring_edges(spark, sf_dir).select("source").subtract(d.part_edges(spark, sf_dir).select("source"))
+    return d.part_edges(spark, sf_dir).select("source").subtract(d.ring_edges(spark, sf_dir).select("source"))

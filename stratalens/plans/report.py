@@ -41,19 +41,26 @@ def _ordered(violations: DataFrame) -> list[dict[str, Any]]:
     return [r.asDict() for r in violations.orderBy("file", "line", "column", "rule").toLocalIterator()]
 
 
-def ndjson(violations: DataFrame, failures: DataFrame, summary: DataFrame) -> DataFrame:
-    """K3: ``(rank, value)`` in order: summary, files, failures, findings."""
+def ndjson(violations: DataFrame, failures: DataFrame, summary: DataFrame, diagnostics: DataFrame | None = None, suppressions: DataFrame | None = None) -> DataFrame:
+    """K3: ``(rank, value)`` in order: summary, files, diagnostics ``(category,
+    message)``, failures, findings, and the totals of suppressions."""
     record = lambda df, rank, kind, *cols: df.select(F.lit(rank).alias("rank"), F.to_json(F.struct(F.lit(kind).alias("type"), *cols)).alias("value"))
     parts = record(summary, 0, "summary", *summary.columns)
     parts = parts.unionByName(record(post.by_file(violations).select("file", "n"), 1, "file", "file", "n"))
-    parts = parts.unionByName(record(failures, 2, "parse_failure", *failures.columns))
-    return parts.unionByName(record(violations, 3, "violation", *violations.columns)).orderBy("rank", "value")
+    if diagnostics is not None:
+        parts = parts.unionByName(record(diagnostics, 2, "diagnostic", "category", "message"))
+    parts = parts.unionByName(record(failures, 3, "parse_failure", *failures.columns))
+    parts = parts.unionByName(record(violations, 4, "violation", *violations.columns))
+    if suppressions is not None:
+        parts = parts.unionByName(record(suppressions, 5, "suppressions", *suppressions.columns))
+    return parts.orderBy("rank", "value")
 
 
-def as_json(violations: DataFrame, failures: DataFrame, summary: DataFrame, stale: DataFrame | None = None) -> str:
+def as_json(violations: DataFrame, failures: DataFrame, summary: DataFrame, stale: DataFrame | None = None, diagnostics: DataFrame | None = None) -> str:
     """K2."""
     rows = _ordered(violations)
-    out: dict[str, Any] = {"summary": summary.first().asDict(), "files": sorted({r["file"] for r in rows}), "violations": rows, "diagnostics": [], "parseFailures": [r.asDict() for r in failures.collect()]}
+    told = [] if diagnostics is None else [r.asDict() for r in diagnostics.select("category", "message").toLocalIterator()]
+    out: dict[str, Any] = {"summary": summary.first().asDict(), "files": sorted({r["file"] for r in rows}), "violations": rows, "diagnostics": told, "parseFailures": [r.asDict() for r in failures.collect()]}
     if stale is not None:
         out["suppressions"] = {"stale": [r.asDict() for r in stale.orderBy("path", "line").collect()]}
     return json.dumps(out, indent=2) + "\n"

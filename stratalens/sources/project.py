@@ -120,6 +120,18 @@ def _entry_points(exports: object, prefix: str = "") -> list[tuple[str, str]]:
     return []
 
 
+#: Endings and index files that an entry point is tried with, in order.  Fixed values.
+ENTRY_EXTENSIONS = ("ts", "tsx", "js", "mjs", "cjs", "jsx")
+ENTRY_INDEXES = ("index.ts", "index.tsx", "index.js")
+
+
+def probe_entry(root: str, path: str) -> str:
+    """The file that an entry point stands for, or the path itself."""
+    stem = os.path.splitext(path)[0]
+    tries = [f"{stem}.{e}" for e in ENTRY_EXTENSIONS] + [f"{path}/{i}" for i in ENTRY_INDEXES]
+    return next((p for p in tries if os.path.isfile(os.path.join(root, p))), path)
+
+
 def workspace(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """``packages(name, directory)`` and ``entries(package, subpath, path)``
     from the root's workspaces; ``!`` globs exclude."""
@@ -146,7 +158,7 @@ def workspace(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             if m.get("name"):
                 packages.append((m["name"], rel))
                 points = _entry_points(m["exports"]) if "exports" in m else [("", m[k]) for k in ("types", "module", "main") if k in m] or [("", "index.ts"), ("", "src/index.ts")]
-                entries += [(m["name"], sub, os.path.normpath(f"{rel}/{p}").replace(os.sep, "/")) for sub, p in points]
+                entries += [(m["name"], sub, probe_entry(root, os.path.normpath(f"{rel}/{p}").replace(os.sep, "/"))) for sub, p in points]
     return spark.createDataFrame(sorted(packages, key=lambda p: p[1], reverse=True), "name string, directory string"), spark.createDataFrame(entries, "package string, subpath string, path string")
 
 

@@ -181,6 +181,26 @@ def test_watch_state_is_durable(spark, tmp_path):
     assert seen
 
 
+def test_entry_points_are_probed(tmp_path):
+    for p in ("a/src/x.ts", "a/src/x.js", "b/lib/index.tsx", "c/d.mjs"):
+        os.makedirs(tmp_path / os.path.dirname(p), exist_ok=True)
+        (tmp_path / p).write_text("")
+    tries = {"a/src/x.js": "a/src/x.ts", "a/src/x": "a/src/x.ts", "b/lib": "b/lib/index.tsx", "c/d.ts": "c/d.mjs", "e/f.ts": "e/f.ts"}
+    assert {k: project.probe_entry(str(tmp_path), k) for k in tries} == tries
+
+
+def test_records_of_diagnostics_and_suppressions(spark, linted):
+    facts, out = linted
+    summary = post.summary(out["violations"], 4)
+    notes = spark.createDataFrame([("config", "unknown rule")], "category string, message string")
+    totals = post.suppression_totals(out["raw"], out["directives"])
+    rows = [json.loads(r.value) for r in report.ndjson(out["violations"], out["failures"], summary, notes, totals).collect()]
+    kinds = [r["type"] for r in rows]
+    assert kinds == sorted(kinds, key=["summary", "file", "diagnostic", "parse_failure", "violation", "suppressions"].index)
+    assert {"type": "diagnostic", "category": "config", "message": "unknown rule"} in rows and rows[-1]["n_suppressed"] == 1
+    assert json.loads(report.as_json(out["violations"], out["failures"], summary, None, notes))["diagnostics"] == [{"category": "config", "message": "unknown rule"}]
+
+
 def test_config():
     merged = config.merge({"project": {"root": "src"}, "rules": {"no-any": {"severity": "warn", "allow-in-types": True}}}, {"project": {"root": "x"}, "rules": {"no-any": "error"}})
     assert merged == {"project": {"root": "src"}, "rules": {"no-any": {"severity": "error", "allow-in-types": True}}}
