@@ -149,24 +149,24 @@ def mixed_edges(spark, sf_dir):
 
 @query(
     "affected_files",
-    f"""with recursive {d.RINGS}, {d.RECENT}, seeds as (select cast(s_suppkey as varchar) as node from supplier where s_acctbal < 0),
+    f"""with recursive {d.RINGS}, {d.RECENT}, seeds as (select cast(s_suppkey as varchar) as node from supplier where s_acctbal < 3000),
   every as (select source, target from edges union select source, target from recent),
   both_ways as (select source as a, target as b from every union select target, source from every),
   hit as (select node from seeds union select b from hit join both_ways on a = node) select node from hit""",
 )
 def affected_files(spark, sf_dir):
     """G5."""
-    seeds = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("node"))
+    seeds = table(spark, sf_dir, "supplier").where("s_acctbal < 3000").select(F.col("s_suppkey").cast("string").alias("node"))
     return graph.affected(d.ring_edges(spark, sf_dir), d.recent_edges(spark, sf_dir), seeds)
 
 
 @query(
     "reachable_files",
-    f"""with recursive {d.RINGS}, hit as (select cast(s_suppkey as varchar) as node from supplier where s_acctbal < 0 union select target from hit join edges on source = node) select node from hit""",
+    f"""with recursive {d.RINGS}, hit as (select cast(s_suppkey as varchar) as node from supplier where s_acctbal < 3000 union select target from hit join edges on source = node) select node from hit""",
 )
 def reachable_files(spark, sf_dir):
     """Directed reachability by a frontier loop."""
-    seeds = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("node"))
+    seeds = table(spark, sf_dir, "supplier").where("s_acctbal < 3000").select(F.col("s_suppkey").cast("string").alias("node"))
     return graph.reach(d.ring_edges(spark, sf_dir), seeds)
 
 
