@@ -113,12 +113,16 @@ def _facts(spark, rule: str, sf_dir: str) -> rules.Facts:
     _, _, options, settings = CASES[rule]
     level = {"layer-boundaries": "warn"} if rule == "layer-boundaries" else {}
     make = spark.createDataFrame
-    # layers and packages are configuration: one entry for each supplier
-    homes = [f"s{r[0]}/" for r in table(spark, sf_dir, "supplier").where(PLANTED).select("s_suppkey").collect()] if settings else []
-    layers = [(f"{h}{name}", [h + p for p in folders], [h + x for x in more]) for h in homes for name, folders, more in settings.get("layers", [])]
-    config = rules.Config(severity=level, options={rule: options} if options else {}, layers=layers)
-    packages = make([(n.replace("@s", f"@{h[:-1]}"), h + p) for h in homes for n, p in settings["packages"]], "name string, directory string") if "packages" in settings else None
-    entries = make([(n.replace("@s", f"@{h[:-1]}"), s, h + p) for h in homes for n, s, p in settings["entries"]], "package string, subpath string, path string") if "entries" in settings else None
+    config = rules.Config(severity=level, options={rule: options} if options else {}, layers=settings.get("layers", []))
+    owners = table(spark, sf_dir, "supplier").where(PLANTED).selectExpr("concat('s', s_suppkey) as home")
+    own = lambda name: F.replace(name, F.lit("@s"), F.concat(F.lit("@"), "home"))
+    at = lambda path: F.concat_ws("/", "home", path)
+    packages = entries = None
+    if "packages" in settings:
+        rows = owners.crossJoin(F.broadcast(make(settings["packages"], "name string, directory string")))
+        packages = materialize(rows.select(own("name").alias("name"), at("directory").alias("directory")), "packages")
+        rows = owners.crossJoin(F.broadcast(make(settings["entries"], "package string, subpath string, path string")))
+        entries = materialize(rows.select(own("package").alias("package"), "subpath", at("path").alias("path")), "entries")
     return rules.Facts(materialize(_planted(spark, sf_dir, rule), "tree"), config, packages=packages, entries=entries)
 
 
