@@ -46,31 +46,58 @@ def make_baseline(violations: DataFrame) -> DataFrame:
     return violations.select(*KEY).distinct()
 
 
-def _covers(d: DataFrame, v: DataFrame) -> Column:
-    """Whether a directive silences a finding of its file."""
-    line = (d["kind"] == "file") | ((d["kind"] == "line") & (v["line"] == d["d_line"])) | ((d["kind"] == "next_line") & (v["line"] == d["d_line"] + 1))
-    return (v["file"] == d["d_file"]) & F.coalesce(line, F.lit(False)) & ((F.size(d["rules"]) == 0) | F.array_contains(d["rules"], v["rule"]))
-
-
 def _directives(directives: DataFrame) -> DataFrame:
     return directives.select(F.col("path").alias("d_file"), "kind", F.col("line").alias("d_line"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
 
 
+def _keys(directives: DataFrame) -> DataFrame:
+    """What each directive silences: a row ``(file, at, about)`` for each of its
+    rules; no line or no rule means any."""
+    at = F.when(F.col("kind") == "line", F.col("d_line")).when(F.col("kind") == "next_line", F.col("d_line") + 1)
+    rows = directives.where("kind = 'file' or d_line is not null")
+    return rows.select("*", F.col("d_file").alias("file"), at.alias("at"), F.explode_outer("rules").alias("about"))
+
+
+#: A key's form: whether it names a line, and whether it names a rule.
+_FORMS = ((True, True), (True, False), (False, True), (False, False))
+
+
+def _flagged(violations: DataFrame, directives: DataFrame) -> DataFrame:
+    """``violations`` with ``_hit``, by an equi join for each form of key."""
+    keys = _keys(_directives(directives)).select("file", "at", "about").distinct()
+    out, hits = violations, []
+    for n, (line, rule) in enumerate(_FORMS):
+        form = keys.where((F.col("at").isNotNull() == line) & (F.col("about").isNotNull() == rule))
+        names = {"file": f"_file{n}", "at": f"_at{n}", "about": f"_about{n}"}
+        same = (violations["file"] == F.col(f"_file{n}")) & ((violations["line"] == F.col(f"_at{n}")) if line else F.lit(True)) & ((violations["rule"] == F.col(f"_about{n}")) if rule else F.lit(True))
+        out = out.join(form.withColumnsRenamed(names), same, "left")
+        hits.append(F.col(f"_file{n}").isNotNull())
+    return out.select(*violations.columns, reduce(lambda a, b: a | b, hits).alias("_hit"))
+
+
 def suppress(violations: DataFrame, directives: DataFrame) -> DataFrame:
-    """Findings that no directive silences; the path is the join's key."""
-    d = _directives(directives)
-    return violations.join(d, _covers(d, violations), "left_anti")
+    """Findings that no directive silences."""
+    return _flagged(violations, directives).where("not _hit").drop("_hit")
 
 
 def suppressed(violations: DataFrame, directives: DataFrame) -> DataFrame:
-    d = _directives(directives)
-    return violations.join(d, _covers(d, violations), "left_semi")
+    return _flagged(violations, directives).where("_hit").drop("_hit")
 
 
 def stale(directives: DataFrame, raw: DataFrame) -> DataFrame:
-    """Directives that silence no raw finding."""
+    """Directives that silence no raw finding.  Findings are cut down to
+    distinct places before they meet the directives' keys."""
     d = _directives(directives)
-    return d.join(raw, _covers(d, raw), "left_anti").select(F.col("d_file").alias("path"), "kind", F.col("d_line").alias("line"), "rules")
+    any_line, any_rule = F.lit(None).cast(raw.schema["line"].dataType), F.lit(None).cast("string")
+    place = lambda line, rule: F.struct((F.col("line") if line else any_line).alias("at"), (F.col("rule") if rule else any_rule).alias("about"))
+    forms = F.when(F.col("line").isNull(), F.array(*[place(*f) for f in _FORMS if not f[0]])).otherwise(F.array(*[place(*f) for f in _FORMS]))
+    seen = raw.select("file", "line", "rule").distinct().select("file", F.inline(forms)).distinct()
+    seen = seen.withColumnsRenamed({"file": "s_file", "at": "s_at", "about": "s_about"})
+    own = _keys(d)
+    same = (own["file"] == seen["s_file"]) & own["at"].eqNullSafe(seen["s_at"]) & own["about"].eqNullSafe(seen["s_about"])
+    live = own.join(seen, same, "left_semi").select(*[F.col(c).alias(f"l_{c}") for c in d.columns]).distinct()
+    match = reduce(lambda a, b: a & b, [d[c].eqNullSafe(F.col(f"l_{c}")) for c in d.columns])
+    return d.join(live, match, "left_anti").select(F.col("d_file").alias("path"), "kind", F.col("d_line").alias("line"), "rules")
 
 
 def suppression_totals(raw: DataFrame, directives: DataFrame) -> DataFrame:
