@@ -50,7 +50,7 @@ def _directives(directives: DataFrame) -> DataFrame:
     return directives.select(F.col("path").alias("d_file"), "kind", F.col("line").alias("d_line"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
 
 
-def _keys(directives: DataFrame) -> DataFrame:
+def _silenced(directives: DataFrame) -> DataFrame:
     """What each directive silences: a row ``(file, at, about)`` for each of its
     rules; no line or no rule means any."""
     at = F.when(F.col("kind") == "line", F.col("d_line")).when(F.col("kind") == "next_line", F.col("d_line") + 1)
@@ -64,7 +64,7 @@ _FORMS = ((True, True), (True, False), (False, True), (False, False))
 
 def _flagged(violations: DataFrame, directives: DataFrame) -> DataFrame:
     """``violations`` with ``_hit``, by an equi join for each form of key."""
-    keys = _keys(_directives(directives)).select("file", "at", "about").distinct()
+    keys = _silenced(_directives(directives)).select("file", "at", "about").distinct()
     out, hits = violations, []
     for n, (line, rule) in enumerate(_FORMS):
         form = keys.where((F.col("at").isNotNull() == line) & (F.col("about").isNotNull() == rule))
@@ -93,7 +93,7 @@ def stale(directives: DataFrame, raw: DataFrame) -> DataFrame:
     forms = F.when(F.col("line").isNull(), F.array(*[place(*f) for f in _FORMS if not f[0]])).otherwise(F.array(*[place(*f) for f in _FORMS]))
     seen = raw.select("file", "line", "rule").distinct().select("file", F.inline(forms)).distinct()
     seen = seen.withColumnsRenamed({"file": "s_file", "at": "s_at", "about": "s_about"})
-    own = _keys(d)
+    own = _silenced(d)
     same = (own["file"] == seen["s_file"]) & own["at"].eqNullSafe(seen["s_at"]) & own["about"].eqNullSafe(seen["s_about"])
     live = own.join(seen, same, "left_semi").select(*[F.col(c).alias(f"l_{c}") for c in d.columns]).distinct()
     match = reduce(lambda a, b: a & b, [d[c].eqNullSafe(F.col(f"l_{c}")) for c in d.columns])
