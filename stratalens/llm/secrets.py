@@ -1,23 +1,25 @@
 """Secret scans by grammar inference.
 
-Base formats give labelled credentials.  From a bounded sample of them (``FIT``
-distinct strings of each kind, the smallest by hash) state merging builds one
-probabilistic automaton for each kind: the strings' prefix tree, in which states
-are merged whose outgoing and final frequencies agree within a Hoeffding bound; of
-several such states that under which the merged one is likeliest.  Every candidate is then scored by its format likelihood: its log-likelihood under
-the automaton less that under a background model of ordinary candidates, for each
-character.  The cut of a kind is set on labelled strings that were held out of the
-fit: ``HELD_OUT_SHARE`` of them pass; if they lie clear of ordinary candidates, the
-cut lies halfway, and it is never below zero.
+Base formats give labelled credentials.  From all distinct ones of the corpus state
+merging builds one probabilistic automaton for each kind, in rounds over the labels
+(``learn``): states are merged whose frequencies of the next ``LOOK`` symbols agree
+within a Hoeffding bound; of several such states that under which the merged one is
+likeliest.  Every candidate is then scored by its format likelihood: its
+log-likelihood under the automaton less that under a background model of ordinary
+candidates, for each character.  The cut of a kind is set on all labels, each scored
+without its own share in the counts: ``HELD_OUT_SHARE`` of them pass; if they lie
+clear of ordinary candidates, the cut lies halfway, and it is never below zero.
 
 Candidates are the maximal runs of letters, digits and ``+/_.=-``, and, where the run
 itself does not pass, the runs of letters and digits in it, from the shortest length
 learned of a kind.  Those that pass are spans of kind ``format``, whether or not they
 touch a base span; ``n_new`` counts those that touch none.
 
-Samples are the only bounded thing: ``FIT`` labels to learn from and ``HELD`` to set
-the cut for each kind, ``ORDINARY`` candidates for the background and again for its
-scores, all of up to ``FIT_CHARS`` characters, drawn by hash from the whole corpus.
+Counts, models and cuts come from every label and every distinct ordinary candidate,
+however long.  What the driver holds is bounded by the models, not by the corpus:
+counts by state and symbol of at most ``STATES`` states a kind, and histograms of
+scores in steps of ``STEP``.  Only a caller who asks ``fit`` for a ``size`` gets
+models from samples; no query does.
 
 Null and empty texts have no spans.  Spans are code points, end exclusive, and a
 span of ``assign`` covers the whole match.  Texts are scanned whole.  Repeated
@@ -30,7 +32,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -38,16 +41,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.runtime import map_arrow, prepare
-
-#: Strings of each kind that an automaton is learned from, and that set its cut.
-FIT = 300
+from stratalens.runtime import map_arrow, materialize, prepare, release
+
+#: States of an automaton; beyond them a new one joins that which fits it best.
+STATES = 64
+#: Symbols ahead whose frequencies tell states apart.
+LOOK = 4
+#: Nats between two places where a cut may lie.
+STEP = 2.0**-12
+#: Distinct candidates, and their characters, that a task remembers to have given out.
+SEEN = 1 << 16
+SEEN_CHARS = 8 << 20
+#: Of samples that a caller asks for: strings of each kind that set the cut, ordinary
+#: candidates for the background and again for its scores, and the longest string.
 HELD = 200
-#: Ordinary candidates that the background is learned from, and that are scored.
 ORDINARY = 2000
-#: Longest string of a sample.
 FIT_CHARS = 4096
-#: Share of the held-out labels that pass.
+#: Share of the labels that pass, each scored without itself.
 HELD_OUT_SHARE = 0.98
 #: Share of the ordinary candidates that the cut is to lie above.
 ORDINARY_SHARE = 0.999
@@ -70,6 +80,7 @@ LEAST = 12
 ALPHABET = 68
 END = ""
 CLASSES = {"a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0": "0123456789", "+": "+/_.=-"}
+TO_CLASS = str.maketrans({ch: c for c, letters in CLASSES.items() for ch in letters})
 
 Span = tuple[str, int, int]
 
@@ -110,6 +121,14 @@ class Automaton:
         self._merge()
         self._score = [self._logs(c) for c in self.count]
 
+    @classmethod
+    def of(cls, steps: list[dict[str, int]], count: list[dict[str, int]]) -> Automaton:
+        """The automaton with these transitions and frequencies."""
+        out = cls.__new__(cls)
+        out.next, out.count = steps, count
+        out._score = [cls._logs(c) for c in count]
+        return out
+
     def _compatible(self, a: int, b: int) -> bool:
         todo = [(a, b)]
         while todo:
@@ -174,22 +193,32 @@ class Automaton:
             at = self.next[at].get(ch, at)
         return total + self._score[at].get(END, never)
 
+    def likelihood_without(self, s: str) -> float:
+        """Log-likelihood of ``s``, one of the strings learned from, under the
+        frequencies of all others."""
+        at, own = 0, Counter()
+        for ch in s:
+            own[at, ch] += 1
+            at = self.next[at][ch]
+        own[at, END] += 1
+        visits: dict[int, int] = {}
+        for (q, _), n in own.items():
+            visits[q] = visits.get(q, 0) + n
+        size = {q: sum(self.count[q].values()) - n for q, n in visits.items()}
+        never = math.log(SMOOTHING / (1 + SMOOTHING * (ALPHABET + 1)))
+        log = lambda q, left: math.log((left + SMOOTHING) / (size[q] + SMOOTHING * (ALPHABET + 1))) if left else never
+        return sum(n * log(q, self.count[q][k] - n) for (q, k), n in own.items())
+
 
 class Background:
     """Ordinary candidates: a chain of character classes, and how often each
     character stands for its class."""
 
-    def __init__(self, strings: Iterable[str]):
+    def __init__(self, strings: Iterable[str] = (), counts: dict[tuple[str, str], int] | None = None):
         of = {ch: c for c, letters in CLASSES.items() for ch in letters}
-        moves = {(a, b): 0.5 for a in [END, *CLASSES] for b in [END, *CLASSES]}
-        letters = dict.fromkeys(of, 0.5)
-        for s in strings:
-            last = END
-            for ch in s:
-                moves[last, of[ch]] += 1
-                letters[ch] += 1
-                last = of[ch]
-            moves[last, END] += 1
+        counts = self.tally(strings) if counts is None else counts
+        moves = {(a, b): counts.get((a, b), 0) + 0.5 for a in [END, *CLASSES] for b in [END, *CLASSES]}
+        letters = {ch: counts.get(("letter", ch), 0) + 0.5 for ch in of}
         total = {a: sum(moves[a, b] for b in [END, *CLASSES]) for a in [END, *CLASSES]}
         step = {k: math.log(n / total[k[0]]) for k, n in moves.items()}
         size = {c: sum(letters[ch] for ch in group) for c, group in CLASSES.items()}
@@ -197,6 +226,18 @@ class Background:
         self._step = {(a, ch): step[a, of[ch]] + math.log(letters[ch] / size[of[ch]]) for a in [END, *CLASSES] for ch in of}
         self._end = {a: step[a, END] for a in [END, *CLASSES]}
 
+    @staticmethod
+    def tally(strings: Iterable[str]) -> Counter:
+        """How often classes follow each other and letters occur; sums add up."""
+        out: Counter = Counter()
+        for s in strings:
+            chain = s.translate(TO_CLASS)
+            out.update(zip(chain, chain[1:]))
+            out[END, chain[0]] += 1
+            out[chain[-1], END] += 1
+            out.update(zip(["letter"] * len(s), s))
+        return out
+
     def likelihood(self, s: str) -> float:
         last, total = END, 0.0
         for ch in s:
@@ -220,13 +261,34 @@ class Detector:
         self.background = Background(ordinary)
         for _ in range(ROUNDS):
             # credentials that nobody labelled are no part of the background
-            self.background = Background([s for s in ordinary if not any(len(s) >= self.shortest[k] and self.score(k, s) > 0 for k in self.automata)])
+            self.background = Background(filter(self.is_ordinary, ordinary))
         self.cuts = {}
         for k in self.automata:
             low = _quantile([self.score(k, s) for s in held.get(k) or labels[k]], 1 - HELD_OUT_SHARE)
             common = [self.score(k, s) for s in others if len(s) >= self.shortest[k]]
             high = _quantile(common, ORDINARY_SHARE) if common else 0.0
-            self.cuts[k] = max(0.0, min(low, (low + high) / 2))
+            self.cuts[k] = self.cut(low, high)
+
+    @classmethod
+    def of(cls, automata: dict[str, Automaton], shortest: dict[str, int], background: Background) -> Detector:
+        """A detector of these models, whose cuts are still to be set."""
+        out = cls.__new__(cls)
+        out.automata, out.shortest, out.background, out.cuts = automata, shortest, background, {}
+        out.least = min(shortest.values(), default=0)
+        return out
+
+    @staticmethod
+    def cut(low: float, high: float) -> float:
+        return max(0.0, min(low, (low + high) / 2))
+
+    def is_ordinary(self, s: str) -> bool:
+        """Whether no format beats the background."""
+        ordinary = self.background.likelihood(s)
+        return not any(len(s) >= self.shortest[k] and a.likelihood(s) > ordinary for k, a in self.automata.items())
+
+    def score_without(self, kind: str, s: str) -> float:
+        """``score`` of a label, without its own share in the automaton."""
+        return (self.automata[kind].likelihood_without(s) - self.background.likelihood(s)) / (len(s) + 1)
 
     def score(self, kind: str, s: str) -> float:
         """Nats a character, end included, by which the format beats the background."""
@@ -271,6 +333,16 @@ def _key(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode()) - (1 << 63)
 
 
+def _candidates(text: str | None) -> Iterator[tuple[str, str]]:
+    """Labels of a text by kind, and its other runs as ``ordinary``."""
+    base = base_spans(text or "")
+    yield from ((k, s) for k, _, _, s in base)
+    runs = [("ordinary", m.start(), m.end()) for m in RUN.finditer(text or "") if m.end() - m.start() >= LEAST]
+    for (k, a, b), hit in zip(runs, _touching(runs, [x[:3] for x in base])):
+        if not hit:
+            yield k, text[a:b]
+
+
 def _samples(size: dict[str, int]):
     """Of each role the strings with the smallest hashes in a task."""
 
@@ -293,13 +365,8 @@ def _samples(size: dict[str, int]):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                base = base_spans(text or "")
-                for k, _, _, s in base:
-                    add(k, s)
-                runs = [("ordinary", m.start(), m.end()) for m in RUN.finditer(text or "") if m.end() - m.start() >= LEAST]
-                for (k, a, b), hit in zip(runs, _touching(runs, [x[:3] for x in base])):
-                    if not hit:
-                        add(k, text[a:b])
+                for k, value in _candidates(text):
+                    add(k, value)
         rows = []
         for role in best:
             cut(role)
@@ -310,10 +377,9 @@ def _samples(size: dict[str, int]):
     return run
 
 
-def fit(docs: DataFrame, size: int = FIT) -> Detector:
+def _sampled(docs: DataFrame, size: int) -> Detector:
     """Learn from bounded samples of the whole corpus: of each kind the strings
     with the smallest hashes, in tasks, in groups of tasks and then of all."""
-    prepare(docs.sparkSession)
     sizes = {"fit": size, "held": HELD, "few": ORDINARY, "few2": ORDINARY}
     found = docs.select("text").mapInArrow(_samples(sizes), "role string, h long, value string").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(1024)))
     bound = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))])[F.substring_index("role", "-", -1)]
@@ -329,6 +395,168 @@ def fit(docs: DataFrame, size: int = FIT) -> Detector:
     return Detector(take("fit"), take("held"), by.get("ordinary-few", []), by.get("ordinary-few2", []))
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Candidates of texts, most repetitions within a task left out."""
+    seen: set[tuple[str, str]] = set()
+    chars = 0
+    for batch in batches:
+        rows = []
+        for text in batch.column(0).to_pylist():
+            for row in _candidates(text):
+                if row not in seen:
+                    if len(seen) >= SEEN or chars + len(row[1]) > SEEN_CHARS:
+                        seen, chars = set(), 0
+                    seen.add(row)
+                    chars += len(row[1])
+                    rows.append(row)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["kind", "value"])
+
+
+def _summed(rows: DataFrame, tally: Callable[[str, list[str]], dict[tuple, int]], key: str) -> list:
+    """Counts that ``tally`` gives for the strings of each kind, summed over all
+    of ``rows``; they and the columns of ``key`` are what reaches the driver."""
+    schema = f"{key}, n long"
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    fields = [f.split() for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        total: dict[tuple, int] = {}
+        for batch in batches:
+            by: dict[str, list[str]] = {}
+            for kind, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(kind, []).append(value)
+            for kind, values in by.items():
+                for k, n in tally(kind, values).items():
+                    total[k] = total.get(k, 0) + n
+        if total:
+            columns = zip(*[(*k, n) for k, n in total.items()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[f for f, _ in fields])
+
+    out = rows.select("kind", "value").mapInArrow(run, schema)
+    return out.groupBy(*[f for f, _ in fields[:-1]]).agg(F.sum("n").alias("n")).collect()
+
+
+Ahead = list[dict[str, int]]
+
+
+def _walk(steps: dict[str, list[dict[str, int]]]) -> Callable[[str, list[str]], dict[tuple, int]]:
+    """Frequencies of the symbols 1 to ``LOOK`` places ahead, for each state that
+    strings pass and for the edge, if any, at which they leave the automaton."""
+
+    def tally(kind: str, values: list[str]) -> dict[tuple, int]:
+        out: dict[tuple, int] = {}
+        own = steps[kind]
+        for s in values:
+            symbols, at = [*s, *[END] * LOOK], 0
+            for i in range(len(s) + 1):
+                to = own[at].get(symbols[i]) if i < len(s) else at
+                places = [(at, "", i)] if to is not None else [(at, "", i), (at, symbols[i], i + 1)]
+                for state, edge, begin in places:
+                    for place in range(LOOK):
+                        symbol = symbols[begin + place] if begin + place < len(symbols) else END
+                        k = (kind, state, edge, place, symbol)
+                        out[k] = out.get(k, 0) + 1
+                if to is None:
+                    break
+                at = to
+        return out
+
+    return tally
+
+
+def _agree(x: Ahead, y: Ahead) -> bool:
+    n, m = sum(x[0].values()), sum(y[0].values())
+    bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+    return bound >= 1 or all(abs(a.get(k, 0) / n - b.get(k, 0) / m) <= bound for a, b in zip(x, y) for k in a.keys() | b.keys())
+
+
+def _extend(steps: list[dict[str, int]], states: list[Ahead], edges: dict[tuple[int, str], Ahead]) -> None:
+    """Lead each edge to the state that it agrees with and that makes what follows
+    likeliest, or else to a new state; the heaviest first."""
+    never = math.log(SMOOTHING)
+    for r, ch in sorted(edges, key=lambda e: (-sum(edges[e][0].values()), e)):
+        new = edges[r, ch]
+        alike = [q for q, ahead in enumerate(states) if _agree(ahead, new)]
+        if not alike and len(states) < STATES:
+            steps[r][ch] = len(states)
+            steps.append({})
+            states.append(new)
+            continue
+        scores = {}
+        for q in alike or range(len(states)):
+            logs = Automaton._logs(states[q][0])
+            scores[q] = sum(n * logs.get(k, never) for k, n in sorted(new[0].items()))
+        q = max(scores, key=lambda q: (scores[q], -q))
+        steps[r][ch] = q
+        states[q] = [{k: a.get(k, 0) + b.get(k, 0) for k in a.keys() | b.keys()} for a, b in zip(states[q], new)]
+
+
+def learn(labels: DataFrame) -> dict[str, Automaton]:
+    """Automata of ``(kind, value)`` from all rows.  In each round every string goes
+    from the start as far as the automaton leads; edges at which strings leave are
+    merged or get states.  In the last round none leaves, so its frequencies count
+    every character."""
+    steps: dict[str, list[dict[str, int]]] = {k: [{}] for k in KINDS[:3]}
+    while True:
+        seen: dict[tuple[str, int, str], Ahead] = {}
+        for r in _summed(labels, _walk(steps), "kind string, state int, edge string, place int, symbol string"):
+            seen.setdefault((r["kind"], r["state"], r["edge"]), [{} for _ in range(LOOK)])[r["place"]][r["symbol"]] = r["n"]
+        done = True
+        for kind in sorted({k for k, _, _ in seen}):
+            edges = {(q, e): ahead for (k, q, e), ahead in seen.items() if k == kind and e}
+            if edges:
+                done = False
+                _extend(steps[kind], [seen[kind, q, ""] for q in range(len(steps[kind]))], edges)
+        if done:
+            return {k: Automaton.of(steps[k], [seen[k, q, ""][0] for q in range(len(steps[k]))]) for k in KINDS[:3] if (k, 0, "") in seen}
+
+
+def _at_share(bins: dict[int, int], share: float) -> float:
+    """``_quantile`` of the scores in a histogram."""
+    left = max(1, math.ceil(share * sum(bins.values())))
+    for b in sorted(bins):
+        left -= bins[b]
+        if left <= 0:
+            return b * STEP
+    raise ValueError("no scores")
+
+
+def fit(docs: DataFrame, size: int | None = None) -> Detector:
+    """Learn from all candidates of the corpus, each distinct one once; with a
+    ``size`` from samples instead."""
+    prepare(docs.sparkSession)
+    if size is not None:
+        return _sampled(docs, size)
+    found = materialize(docs.select("text").mapInArrow(_distinct, "kind string, value string").distinct(), "candidates")
+    labels = materialize(found.where("kind <> 'ordinary'"), "labels")
+    ordinary = found.where("kind = 'ordinary'")
+    shortest = {r["kind"]: r["n"] for r in labels.groupBy("kind").agg(F.min(F.length("value")).alias("n")).collect()}
+    detector = Detector.of(learn(labels) if shortest else {}, shortest, Background())
+    if shortest:
+        for i in range(ROUNDS + 1):
+            # after the first time, credentials that nobody labelled are no part of the background
+            usual = detector.is_ordinary if i else lambda s: True
+            counts = _summed(ordinary, lambda _, values: Background.tally(filter(usual, values)), "a string, b string")  # noqa: B023
+            detector = Detector.of(detector.automata, shortest, Background(counts={(r["a"], r["b"]): r["n"] for r in counts}))
+
+        def scores(kind: str, values: list[str]) -> Counter:
+            if kind != "ordinary":
+                return Counter((kind, "label", math.floor(detector.score_without(kind, s) / STEP)) for s in values)
+            return Counter((k, kind, math.floor(detector.score(k, s) / STEP)) for s in values for k in detector.automata if len(s) >= shortest[k])
+
+        bins: dict[tuple[str, str], dict[int, int]] = {}
+        for r in _summed(found, scores, "kind string, role string, bin long"):
+            bins.setdefault((r["kind"], r["role"]), {})[r["bin"]] = r["n"]
+        cuts = {}
+        for k in detector.automata:
+            common = bins.get((k, "ordinary"))
+            cuts[k] = Detector.cut(_at_share(bins[k, "label"], 1 - HELD_OUT_SHARE), _at_share(common, ORDINARY_SHARE) if common else 0.0)
+        detector.cuts = cuts
+    release(found, labels)
+    return detector
+
+
 def spans(text: str | None, detector: Detector | None, known: dict[str, bool] | None = None) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans of a text, each in order."""
     base = [x[:3] for x in base_spans(text or "")]

@@ -160,6 +160,43 @@ def test_samples_are_the_smallest_hashes(spark):
     assert math.isclose(detector.automata["assign"].likelihood(first[0]), secrets.Automaton(first[:40]).likelihood(first[0]))
 
 
+def test_models_and_cuts_come_from_the_whole_corpus(spark):
+    rng = random.Random(18)
+    say = lambda: " ".join(rng.choice([rng.choice(WORDS), draw(rng, "abcdefghiklmnoprstu", rng.randint(12, 17))]) for _ in range(6))
+    texts = [f"{say()} token={draw(rng, BASE62, 20)} {say()} {draw(rng, '0123456789abcdef', 24)} x" for _ in range(700)]
+    texts += [f"{say()} secret: {draw(rng, BASE62, 30, 'ghp_')} AKIA{draw(rng, 'ABCDEFGH234', 16)}" for _ in range(250)] + [f"token={draw(rng, BASE62, 6000)}", None, ""]
+    detector = secrets.fit(spark.createDataFrame([(t,) for t in texts] * 2, "text string").repartition(7))
+    labels = {k: {s for t in texts for kind, _, _, s in secrets.base_spans(t or "") if kind == k} for k in secrets.KINDS[:3]}
+    ordinary = {s for t in texts for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", t or "") for s in [m[0]] if not any(a < m.end() and m.start() < b for _, a, b, _ in secrets.base_spans(t))}
+    assert len(labels["assign"]) == 951 and len(labels["hex"]) >= 700 and len(labels["access"]) == 250 and len(ordinary) > 2000
+
+    def walk(a, strings):
+        count = [{} for _ in a.count]
+        for s in strings:
+            at = 0
+            for ch in [*s, ""]:
+                count[at][ch] = count[at].get(ch, 0) + 1
+                at = a.next[at][ch] if ch else at
+        return count
+
+    background = secrets.Background(ordinary)
+    for _ in range(secrets.ROUNDS):
+        beaten = lambda s: any(len(s) >= detector.shortest[k] and a.likelihood(s) > background.likelihood(s) for k, a in detector.automata.items())  # noqa: B023, E731
+        background = secrets.Background([s for s in ordinary if not beaten(s)])
+    for k, a in detector.automata.items():
+        assert a.count == walk(a, labels[k]) and detector.shortest[k] == min(map(len, labels[k]))
+        held = []
+        for s in sorted(labels[k]):
+            rest = [{c: n - w.get(c, 0) for c, n in x.items() if n > w.get(c, 0)} for x, w in zip(a.count, walk(a, [s]))]
+            held.append((secrets.Automaton.of(a.next, rest).likelihood(s) - background.likelihood(s)) / (len(s) + 1))
+            assert math.isclose(a.likelihood_without(s), secrets.Automaton.of(a.next, rest).likelihood(s), rel_tol=1e-9)
+        low = secrets._quantile(held, 1 - secrets.HELD_OUT_SHARE)
+        common = [(a.likelihood(s) - background.likelihood(s)) / (len(s) + 1) for s in ordinary if len(s) >= detector.shortest[k]]
+        high = secrets._quantile(common, secrets.ORDINARY_SHARE) if common else 0.0
+        assert abs(detector.cuts[k] - max(0.0, min(low, (low + high) / 2))) <= 2 * secrets.STEP, k
+    assert set(detector.automata) == set(labels)
+
+
 def test_query_and_redaction(spark):
     rng = random.Random(5)
     rows = [(i, random_text(rng), "x") for i in range(150)] + [(900, None, "x"), (901, "", "x"), (None, "token=abcdefabcdef123", "x"), (901, "", "x"), (902, "a1+" * 60000, "x")]
