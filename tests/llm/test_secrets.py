@@ -197,6 +197,18 @@ def test_models_and_cuts_come_from_the_whole_corpus(spark):
     assert set(detector.automata) == set(labels)
 
 
+def test_long_credentials_are_learned_and_redacted(spark):
+    """Labels of any length count, in the scan and in the pipeline's stage."""
+    rng = random.Random(19)
+    bare = [draw(rng, BASE62, 4500) for _ in range(5)]
+    rows = [(i, f"some words token={draw(rng, BASE62, 4500)} more") for i in range(30)] + [(100 + i, f"{' '.join(WORDS)} ({s}) end") for i, s in enumerate(bare)]
+    rows += [(200 + i, " ".join(draw(rng, "abcdefghiklmnoprstu", 14) for _ in range(40))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in secrets.op3(docs).collect() if r.n_new} == {100, 101, 102, 103, 104}
+    clean = {r.doc_id: r.text for r in secrets.redact_documents(docs).collect()}
+    assert all(clean[100 + i] == f"{' '.join(WORDS)} ([SECRET]) end" for i in range(5))
+
+
 def test_query_and_redaction(spark):
     rng = random.Random(5)
     rows = [(i, random_text(rng), "x") for i in range(150)] + [(900, None, "x"), (901, "", "x"), (None, "token=abcdefabcdef123", "x"), (901, "", "x"), (902, "a1+" * 60000, "x")]
