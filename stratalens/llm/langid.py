@@ -6,10 +6,9 @@ out-of-place distance: for each of its own most frequent n-grams the difference
 of the ranks, or the profile's length if the profile lacks it.  The nearest
 profile wins; ties go to the first language by name.
 
-Profiles are learned from rows whose ``crc32(doc_id as text) mod 5`` is not 0 and
-whose ``lang`` and ``text`` are not null: ``FIT_DOCS`` documents of each language in
-expectation, chosen by a hash of the id (all of them if there are fewer), for at
-most ``LANGUAGES`` languages.
+Profiles are learned from all rows whose ``crc32(doc_id as text) mod 5`` is not 0 and
+whose ``lang`` and ``text`` are not null, each text whole, for at most ``LANGUAGES``
+languages.  Counts are summed in tasks before they are shuffled.
 
 Null texts, and texts without a letter, are ``und`` with score 0; so is everything
 if nothing can be learned.  A null ``doc_id`` is never learned from and not held
@@ -19,6 +18,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,6 @@ from pyspark.sql import Window as W
 
 from stratalens.runtime import map_arrow, prepare
 
-#: Documents of each language that profiles are learned from, in expectation.
-FIT_DOCS = 1500
 #: Languages that profiles are learned for, those with the most documents.
 LANGUAGES = 2000
 #: Length of a profile.
@@ -36,6 +35,8 @@ PROFILE = 300
 UNKNOWN = "und"
 #: Characters of a text that are counted at once.
 CHUNK = 1 << 17
+#: n-grams that a task gathers before it sums or hands on their counts.
+GATHERED = 1 << 19
 _TABLE: list[np.ndarray] = []
 
 
@@ -92,36 +93,58 @@ def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, np.ndarray]:
-    """A ranking for each language; at most ``PROFILE`` n-grams of each are
-    brought to the driver."""
-    spark = prepare(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
-    counts = known.groupBy("lang").agg(F.count("text").alias("n")).where("n > 0")
-    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return {}
-    share = spark.createDataFrame([(k, min(1.0, fit_docs / n)) for k, n in sizes.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = known.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Counts of n-grams in texts of each language, most repetitions within a task
+    summed."""
+    by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        by: dict[str, list] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by.setdefault(lang, []).append(ngrams(text))
-        out = []
+    def summed() -> None:
+        nonlocal size
         for lang, found in by.items():
             k, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([x for _, x in found]), minlength=k.size).astype(np.int64)
-            out.append(pa.RecordBatch.from_arrays([pa.array([lang] * k.size, pa.string()), pa.array(k.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if any(b.num_rows for b in out) else out[0]
+            by[lang] = [(k, np.bincount(at, np.concatenate([x for _, x in found]), minlength=k.size).astype(np.int64))]
+        size = sum(found[0][0].size for found in by.values())
 
-    totals = map_arrow(chosen, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    def rows() -> Iterable[pa.RecordBatch]:
+        for lang, found in by.items():
+            for k, n in found:
+                if k.size:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * k.size, pa.string()), pa.array(k.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+        by.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = ngrams(text)
+            by.setdefault(lang, []).append(found)
+            size += found[0].size
+            if size > GATHERED:
+                summed()
+                if size > GATHERED // 2:
+                    yield from rows()
+                    size = 0
+    summed()
+    yield from rows()
+
+
+def fit(docs: DataFrame) -> dict[str, np.ndarray]:
+    """A ranking for each language, from all texts that may be learned from; at most
+    ``PROFILE`` n-grams of each are brought to the driver."""
+    spark = prepare(docs.sparkSession)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    if not sizes:
+        return {}
+    if len(sizes) > LANGUAGES:
+        most = spark.createDataFrame([(r["lang"],) for r in sizes[:LANGUAGES]], "lang string")
+        known = known.join(F.broadcast(most), "lang", "left_semi")
+    found = known.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long")
+    totals = found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = totals.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
-    found: dict[str, list] = {}
+    ranked: dict[str, list] = {}
     for r in top.orderBy("lang", "r").collect():
-        found.setdefault(r["lang"], []).append(r["gram"])
-    return {k: np.array(v, np.int64).view(np.uint64) for k, v in sorted(found.items())}
+        ranked.setdefault(r["lang"], []).append(r["gram"])
+    return {k: np.array(v, np.int64).view(np.uint64) for k, v in sorted(ranked.items())}
 
 
 class Judge:

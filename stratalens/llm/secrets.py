@@ -19,7 +19,7 @@ Counts, models and cuts come from every label and every distinct ordinary candid
 however long.  What the driver holds is bounded by the models, not by the corpus:
 counts by state and symbol of at most ``STATES`` states a kind, and histograms of
 scores in steps of ``STEP``.  Only a caller who asks ``fit`` for a ``size`` gets
-models from samples; no query does.
+models from samples; queries call ``fit_whole``, which has no such way.
 
 Null and empty texts have no spans.  Spans are code points, end exclusive, and a
 span of ``assign`` covers the whole match.  Texts are scanned whole.  Repeated
@@ -523,11 +523,14 @@ def _at_share(bins: dict[int, int], share: float) -> float:
 
 
 def fit(docs: DataFrame, size: int | None = None) -> Detector:
-    """Learn from all candidates of the corpus, each distinct one once; with a
-    ``size`` from samples instead."""
+    """``fit_whole``, or, for a caller who gives a ``size``, learn from samples."""
+    prepare(docs.sparkSession)
+    return fit_whole(docs) if size is None else _sampled(docs, size)
+
+
+def fit_whole(docs: DataFrame) -> Detector:
+    """Learn from all candidates of the corpus, each distinct one once."""
     prepare(docs.sparkSession)
-    if size is not None:
-        return _sampled(docs, size)
     found = materialize(docs.select("text").mapInArrow(_distinct, "kind string, value string").distinct(), "candidates")
     labels = materialize(found.where("kind <> 'ordinary'"), "labels")
     ordinary = found.where("kind = 'ordinary'")
@@ -582,7 +585,7 @@ def redact(text: str, found: list[Span], mark: str = "[SECRET]") -> str:
 def scan(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format, n_new)``."""
     prepare(docs.sparkSession)
-    detector = fit(docs) if detector is None else detector
+    detector = fit_whole(docs) if detector is None else detector
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format", "n_new"]
 
@@ -602,7 +605,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``; secrets in ``text`` are replaced by a
     mark, and ``n_chars``, if there is one, counts the new text."""
     prepare(docs.sparkSession)
-    detector = fit(docs)
+    detector = fit_whole(docs)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

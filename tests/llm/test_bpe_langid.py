@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from stratalens.llm import bpe, langid
@@ -142,3 +143,41 @@ def test_equal_languages_and_long_text(spark):
     assert {r.lang_pred for r in langid.op2(docs).collect()} <= {"w", "x"}
     profiles = {"x": langid.ranking(*langid.ngrams("aaa bbb")), "w": langid.ranking(*langid.ngrams("aaa bbb"))}
     assert {r.lang_pred for r in langid.identify(docs, profiles).collect()} == {"w"}
+
+
+def test_profiles_come_from_all_documents(spark, monkeypatch):
+    """Thousands of documents of a language, each counted, however a task gathers them."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(4)), rng.choice("xxxy")) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sums = {}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            for g, n in slow_ngrams(text).items():
+                sums.setdefault(lang, {})[g] = sums.get(lang, {}).get(g, 0) + n
+    assert len(sums["x"]) > langid.PROFILE
+    key = lambda s: sum(ord(c) << 21 * (len(s) - 1 - i) for i, c in enumerate(s))
+    want = {k: [key(s) for s in sorted(v, key=lambda s: (-v[s], key(s)))[: langid.PROFILE]] for k, v in sums.items()}
+    assert {k: v.tolist() for k, v in langid.fit(docs).items()} == want
+    # tasks that hand on counts early, in parts, give the same sums
+    one = pa.RecordBatch.from_pydict({"lang": [r[2] for r in rows], "text": [r[1] for r in rows]})
+    for gathered in (1, 3000, 1 << 19):
+        monkeypatch.setattr(langid, "GATHERED", gathered)
+        got = {}
+        for b in langid._counted(iter([one])):
+            for lang, k, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                got[lang, k] = got.get((lang, k), 0) + n
+        whole = {}
+        for _, text, lang in rows:
+            for g, n in slow_ngrams(text).items():
+                whole[lang, key(g)] = whole.get((lang, key(g)), 0) + n
+        assert got == whole
+
+
+def test_rare_letters_are_learned_by_the_pipeline(spark):
+    """A text stays if any document that may be learned from has one of its n-grams."""
+    rows = [(i, "ab", "x") for i in range(6000)] + [(6000 + i, chr(0x4E00 + i // 4), "x") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    got = langid.accept(docs).collect()
+    assert len(learned) == 41 and sorted(r.doc_id for r in got) == [i for i, t, _ in rows if t in learned]
