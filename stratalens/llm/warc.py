@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.runtime import materialize
+from stratalens.runtime import materialize, release
 
 REVISIT_BYTES = 100
 URN = "urn:page:"
@@ -46,10 +46,11 @@ def _lines(*lines: Column) -> Column:
 
 
 def write(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Archive:
-    """Archive ``pages(page_id, url, html)``; both tables are written out."""
+    """Archive ``pages(page_id, url, html)``; both tables are written out, and what
+    led to them is dropped, so payloads never lie in two shuffles at once."""
     rows = pages.select("page_id", "url", _payload().alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    ids = materialize(rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size")), "ids")
-    first = materialize(ids.groupBy("digest").agg(F.min("page_id").alias("first_id")), "first")
+    ids = materialize(rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size")), "ids", drop=True)
+    first = materialize(ids.groupBy("digest").agg(F.min("page_id").alias("first_id")), "first", drop=True)
     revisit = (F.col("size") >= REVISIT_BYTES) & (F.col("page_id") > F.col("first_id"))
     urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -69,7 +70,9 @@ def write(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Archive:
     )
     headers = ids.join(first, "digest").withColumn("revisit", revisit).withColumn("http_header", http).select("page_id", "digest", header.alias("header"), "http_header")
     payloads = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
-    return Archive(materialize(headers, "headers"), materialize(payloads, "payloads"))
+    archive = Archive(materialize(headers, "headers", drop=True), materialize(payloads, "payloads", drop=True))
+    release(ids, first)
+    return archive
 
 
 def verified(archive: Archive) -> DataFrame:

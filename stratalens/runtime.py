@@ -27,6 +27,9 @@ BITMAP_BITS = 23
 #: Bytes of an input that may be dealt out anew.
 SPREAD_BYTES = 32 << 20
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Seconds between two runs of the driver's collector.
 SWEEP_SECONDS = 5.0
 _swept = 0.0
@@ -68,18 +71,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str = "part") -> DataFrame:
+def materialize(df: DataFrame, name: str = "part", drop: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     Cuts lineage: a lost executor costs a re-read, not a recomputation.  Now and
     then the driver's collector runs afterwards, so that Spark drops the shuffle
-    files behind what was written.  The folder is removed by ``release`` or when
-    the driver exits.
+    files behind what was written; with ``drop`` Spark drops them as soon as it is.
+    The folder is removed by ``release`` or when the driver exits.
     """
     global _swept
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stratalens-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    if drop:
+        spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if drop:
+            spark.conf.set(DROP_SHUFFLES, before)
     if time.monotonic() - _swept > SWEEP_SECONDS:
         spark.sparkContext._jvm.System.gc()
         _swept = time.monotonic()

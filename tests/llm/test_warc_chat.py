@@ -34,6 +34,30 @@ def test_warc(spark):
     assert warc.op6(pages.limit(0)).count() == 0
 
 
+def test_archive_leaves_no_shuffle_of_payloads(spark, monkeypatch):
+    """Once written, an archive's shuffle files are gone, with the collector at rest."""
+    import os
+    import time
+
+    from stratalens import runtime
+
+    def shuffled():
+        local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for top in local for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    monkeypatch.setattr(runtime, "_swept", time.monotonic() + 1e6)
+    rng = random.Random(4)
+    pages = spark.createDataFrame([(i, "u", rng.randbytes(2000).hex()) for i in range(500)], "page_id long, url string, html string")
+    before = shuffled()
+    archive = warc.write(pages)
+    until = time.monotonic() + 10
+    while (left := shuffled() - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left and archive.payloads.count() == 500
+    assert sorted(r.page_id for r in warc.read(archive).select("page_id").collect()) == list(range(500))
+    assert spark.conf.get(runtime.DROP_SHUFFLES) == "false"
+
+
 def test_escape_round_trip():
     rng = random.Random(1)
     bits = [*chat.CONTROL, "\\", "<", "|", ">", "/s>", "s>", "[", "INST]", "a", "\n", "é", "<\\|", "\\\\"]
