@@ -301,6 +301,22 @@ def test_parser_reads_the_language():
             parse(text)
 
 
+def test_line_ranges_do_not_depend_on_ties(spark):
+    lines = [n for n in (1, 2, 3, 5, 6, 8) for _ in range(2 if n == 6 else 40)] + [9, 10]
+    rows = [("a.ts", n, 1, "r", "m", s, None) for s in post.SEVERITIES for n in lines] + [("a.ts", None, 1, "r", "m", "warn", None)]
+    want, start, end = [], 1, 1
+    for n in sorted(r[1] for r in rows if r[1] is not None)[1:]:
+        if n != end + 1:
+            want.append((start, end))
+            start = n
+        end = n
+    want = sorted(want + [(start, end)])
+    df = spark.createDataFrame(rows, "file string, line int, column int, rule string, message string, severity string, subject string")
+    for parts in (1, 7):
+        got = [(r.first_line, r.last_line, r.lines) for r in post.line_ranges(df.repartition(parts)).collect()]
+        assert sorted(got) == [(a, b, str(a) if a == b else f"{a}-{b}") for a, b in want]
+
+
 def test_columns_are_bytes():
     rows = {r[4]: r for r in extract.facts("a.ts", "const é = 1; let ü = x;\n'é'; let b = 2;") if r[3] == "declarator"}
     assert (rows["ü"][7], rows["ü"][8]) == (1, 19) and (rows["b"][7], rows["b"][8]) == (2, 11)
