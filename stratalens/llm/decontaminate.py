@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.runtime import broadcast_if_small, matching, materialize
+from stratalens.runtime import broadcast_if_small, matching, materialize, packed
 
 SHINGLE = 5
 #: Share of an item's distinct shingles, in hundredths.
@@ -62,12 +62,13 @@ def index(benchmark: DataFrame) -> DataFrame:
     shingles of all items, with those that form the sketches marked."""
     items = benchmark.select("item_id", "text").withColumn("item", F.monotonically_increasing_id())
     rows = _shingle_rows(items, list(range(1, SHINGLE + 1)), "item", "item_id").where(F.col("size") == F.least(F.size("words"), F.lit(SHINGLE)))
-    rows = materialize(rows.select("item", "item_id", "size", "h", _string().alias("shingle")).distinct(), "items")
+    words = benchmark.where("text is not null").agg(F.sum(F.size(_words("text")))).first()[0] or 0
+    rows = materialize(packed(rows.select("item", "item_id", "size", "h", _string().alias("shingle")).distinct(), words), "items")
     counts = rows.groupBy("item").agg(F.count("*").alias("n_item_shingles"), F.array_sort(F.collect_set("h")).alias("hashes"))
     largest = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_item_shingles"))) + 1) - 1
     depth = F.floor(largest * (100 - PERCENT) / 100).cast("int") + 1
     sketch = counts.select("item", "n_item_shingles", F.get("hashes", F.least(depth, F.size("hashes")) - 1).alias("last"))
-    return materialize(rows.join(sketch, "item").withColumn("in_sketch", F.col("h") <= F.col("last")).drop("last"), "index")
+    return materialize(packed(rows.join(sketch, "item").withColumn("in_sketch", F.col("h") <= F.col("last")).drop("last"), words), "index")
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -89,7 +90,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     counts = counts.join(pairs, same, "left_semi")
     about = shingles.select("item", "item_id", "n_item_shingles").distinct()
     out = counts.join(broadcast_if_small(about), "item").where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * PERCENT)
-    return out.select(*key, "item_id", "n_item_shingles", "n_shared", (F.col("n_shared") / F.col("n_item_shingles")).alias("containment"))
+    out = out.select(*key, "item_id", "n_item_shingles", "n_shared", (F.col("n_shared") / F.col("n_item_shingles")).alias("containment"))
+    return packed(out, candidates.count())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators.components import connected_components
-from stratalens.runtime import map_arrow, matching, materialize, prepare
+from stratalens.runtime import map_arrow, matching, materialize, packed, prepare
 
 RADIUS = 3
 SHINGLE = 3
@@ -230,11 +230,13 @@ def groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, fp, first)`` for every row of ``docs``; ``first`` is
     the first document of the row's component."""
     marks = materialize(fingerprints(docs), "fps")
-    distinct = materialize(marks.groupBy("fp").agg(F.min(_rank()).alias("first_doc")), "groups")
-    labels = materialize(connected_components(links(distinct)), "labels").withColumnRenamed("node", "fp")
-    rooted = materialize(distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp")).select("fp", "first_doc", "root"), "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("first_doc").alias("first")), "least")
-    final = materialize(rooted.join(least, "root").select("fp", "first"), "final")
+    total = marks.count()
+    keep = lambda df, name: materialize(packed(df, total), name)
+    distinct = keep(marks.groupBy("fp").agg(F.min(_rank()).alias("first_doc")), "groups")
+    labels = keep(connected_components(links(distinct)), "labels").withColumnRenamed("node", "fp")
+    rooted = keep(distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp")).select("fp", "first_doc", "root"), "rooted")
+    least = keep(rooted.groupBy("root").agg(F.min("first_doc").alias("first")), "least")
+    final = keep(rooted.join(least, "root").select("fp", "first"), "final")
     return marks.join(final, "fp").select("doc_id", "text_hash", "fp", "first")
 
 
@@ -246,7 +248,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, all columns."""
     found = groups(docs).select(_rank().alias("own"), (_rank() == F.col("first")).alias("stays"))
-    state = materialize(found.groupBy("own", "stays").agg(F.count("*").alias("n")), "state")
+    state = found.groupBy("own", "stays").agg(F.count("*").alias("n"))
+    state = materialize(packed(state, docs.count()), "state")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
     out = matching(docs, own, state.where("not stays").select("own"), keep=False)
     repeated = state.where("stays and n > 1").select("own")

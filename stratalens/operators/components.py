@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.runtime import materialize, release
+from stratalens.runtime import materialize, packed, release
 
 MAX_ROUNDS = 60
 
@@ -28,6 +28,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     base = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = base.unionByName(base.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     links = materialize(both, "links")
+    # no later table has more rows
+    total = links.count()
     nodes = links.select(F.col("a").alias("node")).distinct()
     links = links.where("a <> b")
     steps: list[DataFrame] = []
@@ -40,20 +42,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .agg(F.min(_priority("b", seed)).alias("m"))
             .select(F.col("a").alias("node"), F.least("m", _priority("a", seed)).alias("m"))
         )
-        step = materialize(
-            links.join(near.withColumnRenamed("node", "b"), "b")
-            .groupBy("a")
-            .agg(F.min("m").alias("m"))
-            .select(F.col("a").alias("node"), F.col("m.n").alias("label")),
-            "step",
-        )
+        step = links.join(near.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("m").alias("m"))
+        step = materialize(packed(step.select(F.col("a").alias("node"), F.col("m.n").alias("label")), total), "step")
         steps.append(step)
         left = step.select(F.col("node").alias("a"), F.col("label").alias("la"))
         right = step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        shorter = materialize(
-            links.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(),
-            "links",
-        )
+        shorter = links.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        shorter = materialize(packed(shorter, total), "links")
         if seed:
             release(table)
         links = table = shorter
@@ -63,7 +58,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     for step in steps:
         hop = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
         found = found.join(hop, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    found = materialize(found, "found")
-    least = materialize(found.groupBy("label").agg(F.min("node").alias("component")), "least")
+    found = materialize(packed(found, total), "found")
+    least = materialize(packed(found.groupBy("label").agg(F.min("node").alias("component")), total), "least")
     release(*steps)
     return found.join(least, "label").select("node", "component")

@@ -24,6 +24,9 @@ ARROW_BYTES = 8 << 20
 #: Hashes of a bitmap; it has a row for each 64 of them.
 BITMAP_BITS = 23
 
+#: Rows of a file that ``packed`` fills.
+PACKED_ROWS = 1 << 15
+
 #: Bytes of an input that may be dealt out anew.
 SPREAD_BYTES = 32 << 20
 
@@ -99,6 +102,20 @@ def materialize(df: DataFrame, name: str = "part", drop: bool = False) -> DataFr
     return out
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has no more than ``rows`` narrow rows, in as few partitions as
+    they fill, if there are no more than may be broadcast; else ``df`` as it is, with
+    whatever Spark splits at run time.
+
+    For tables that ``materialize`` is to write: a file costs more than its rows if
+    these are few.  On local disks without Hadoop's native library a task starts three
+    processes for each file, to set modes, and each counts with all of its executor's
+    memory until it runs.  ``rows`` should come from a count; ``df`` should end in a
+    shuffle, as the stage after that gets as few tasks.
+    """
+    return df.coalesce(max(1, -(-rows // PACKED_ROWS))) if rows <= BROADCAST_ROWS else df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in tables:
