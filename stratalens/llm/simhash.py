@@ -36,6 +36,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,7 +234,9 @@ def groups(docs: DataFrame) -> DataFrame:
     total = marks.count()
     keep = lambda df, name: materialize(packed(df, total), name)
     distinct = keep(marks.groupBy("fp").agg(F.min(_rank()).alias("first_doc")), "groups")
-    labels = keep(connected_components(links(distinct)), "labels").withColumnRenamed("node", "fp")
+    found = links(distinct).persist(StorageLevel.DISK_ONLY)  # counted before they are written
+    labels = keep(connected_components(found, rows=found.count()), "labels").withColumnRenamed("node", "fp")
+    found.unpersist()
     rooted = keep(distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp")).select("fp", "first_doc", "root"), "rooted")
     least = keep(rooted.groupBy("root").agg(F.min("first_doc").alias("first")), "least")
     final = keep(rooted.join(least, "root").select("fp", "first"), "final")

@@ -21,13 +21,14 @@ def _priority(node: str, seed: int):
     return F.struct(F.xxhash64(F.col(node), F.lit(seed)).alias("p"), F.col(node).alias("n"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rows: int | None = None) -> DataFrame:
     """``(node, component)`` for every node of an edge; ``component`` is the
     smallest node id of its component.  Edges are undirected; self-loops keep
-    their node, nulls are dropped, repeats do not matter."""
+    their node, nulls are dropped, repeats do not matter.  ``rows`` is the number of
+    ``edges``, if it is known."""
     base = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = base.unionByName(base.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    links = materialize(both, "links")
+    links = materialize(both if rows is None else packed(both, 2 * rows), "links")
     # no later table has more rows
     total = links.count()
     nodes = links.select(F.col("a").alias("node")).distinct()
